@@ -2,9 +2,327 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions.paths import of_schema
+from ..operators.aggregate import aggregated, sort
+from ..operators.filters import compiled, nearness
+from ..operators.mutate import deleted, updated
+from ..operators.project import projected
+from ..session import load
+from ..sources.catalog import Database
+from ..sources.files import to_json
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def find(name: str, table: str, filter: dict, columns: list[str], where: str, **more) -> None:
+    """A filter with an inclusive projection, and its SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = load(spark, sf_dir, table)
+        rows = df.where(compiled(filter, of_schema(df.schema)))
+        return projected(rows, dict.fromkeys(columns, 1), filter)
+
+    add(name, run, f"SELECT {', '.join(columns)} FROM {table} WHERE {where}")
+
+
+def pipeline(name: str, table: str, stages: dict | list, sql: str) -> None:
+    add(name, lambda spark, sf_dir: aggregated(load(spark, sf_dir, table), stages), sql)
+
+
+def project(name: str, table: str, spec: dict, sql: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, filter: dict | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = prepare(load(spark, sf_dir, table))
+        return projected(df.where(compiled(filter, of_schema(df.schema))), spec, filter)
+
+    add(name, run, sql)
+
+
+def add(name: str, run: Query, sql: str | None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+# Grouped aggregation
+
+pipeline(
+    "group_sum_count", "lineitem",
+    [{"$group": {"_id": "$l_returnflag", "total_qty": {"$sum": "$l_quantity"}, "n": {"$sum": 1}}}],
+    "SELECT l_returnflag AS _id, CAST(SUM(l_quantity) AS DOUBLE) AS total_qty, CAST(COUNT(*) AS DOUBLE) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1",
+)
+pipeline(
+    "group_sum_int", "part",
+    {"$group": {"_id": "$p_brand", "size": {"$sum": "$p_size"}, "twice": {"$sum": 2}}},
+    "SELECT p_brand AS _id, CAST(SUM(p_size) AS DOUBLE) AS size, CAST(2 * COUNT(*) AS DOUBLE) AS twice FROM part GROUP BY 1",
+)
+pipeline(
+    "group_sorted", "orders",
+    [{"$group": {"_id": "$o_orderpriority", "n": {"$sum": 1}, "biggest": {"$max": "$o_totalprice"}}}, {"$sort": {"n": 1, "_id": 1}}],
+    "SELECT o_orderpriority AS _id, CAST(COUNT(*) AS DOUBLE) AS n, MAX(o_totalprice) AS biggest FROM orders GROUP BY 1 ORDER BY 2, 1",
+)
+pipeline(
+    "group_min_max_avg", "lineitem",
+    {"$group": {"_id": "$l_linestatus", "low": {"$min": "$l_linenumber"}, "high": {"$max": "$l_extendedprice"}, "mean": {"$avg": "$l_linenumber"}, "last": {"$max": "$l_returnflag"}}},
+    "SELECT l_linestatus AS _id, CAST(MIN(l_linenumber) AS DOUBLE) AS low, MAX(l_extendedprice) AS high, AVG(l_linenumber) AS mean, MAX(l_returnflag) AS last FROM lineitem GROUP BY 1",
+)
+pipeline(
+    "group_expr", "lineitem",
+    {"$group": {"_id": "$l_returnflag", "lines": {"$sum": {"$multiply": ["$l_linenumber", 3]}}, "keys": {"$sum": {"$add": ["$l_partkey", "$l_suppkey", 1]}}}},
+    "SELECT l_returnflag AS _id, CAST(SUM(l_linenumber * 3) AS DOUBLE) AS lines, CAST(SUM(l_partkey + l_suppkey + 1) AS DOUBLE) AS keys FROM lineitem GROUP BY 1",
+)
+add(
+    "group_expr_double",
+    lambda spark, sf_dir: aggregated(load(spark, sf_dir, "lineitem"), {"$group": {"_id": "$l_returnflag", "revenue": {"$sum": {"$multiply": ["$l_extendedprice", "$l_discount"]}}}}).withColumn("revenue", F.round("revenue", 1)),
+    "SELECT l_returnflag AS _id, ROUND(SUM(l_extendedprice * l_discount), 1) AS revenue FROM lineitem GROUP BY 1",
+)
+pipeline(
+    "group_all", "orders",
+    [{"$group": {"_id": None, "n": {"$sum": 1}, "low": {"$min": "$o_totalprice"}}}, {"$project": {"_id": 0, "n": 1, "low": 1}}],
+    "SELECT CAST(COUNT(*) AS DOUBLE) AS n, MIN(o_totalprice) AS low FROM orders",
+)
+pipeline(
+    "group_multi", "orders",
+    [{"$group": {"_id": {"status": "$o_orderstatus", "priority": "$o_orderpriority"}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "n": 1, "status": "$_id.status", "priority": "$_id.priority"}}],
+    "SELECT CAST(COUNT(*) AS DOUBLE) AS n, o_orderstatus AS status, o_orderpriority AS priority FROM orders GROUP BY 2, 3",
+)
+pipeline(
+    "match_group_sort_limit", "events",
+    [{"$match": {"value": {"$gt": 10}}}, {"$group": {"_id": "$user_id", "n": {"$sum": 1}}}, {"$sort": {"n": -1, "_id": 1}}, {"$limit": 10}],
+    "SELECT user_id AS _id, CAST(COUNT(*) AS DOUBLE) AS n FROM events WHERE value > 10 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+pipeline(
+    "sort_skip_limit", "orders",
+    [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$skip": 5}, {"$limit": 20}, {"$project": {"o_orderkey": 1, "o_totalprice": 1}}],
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5",
+)
+pipeline(
+    "unwind_group", "embeddings",
+    [{"$unwind": "$embedding"}, {"$match": {"embedding": {"$gt": 0.3}}}, {"$group": {"_id": "$label", "n": {"$sum": 1}}}],
+    "SELECT label AS _id, CAST(COUNT(*) AS DOUBLE) AS n FROM (SELECT label, UNNEST(embedding) AS e FROM embeddings) WHERE e > 0.3 GROUP BY 1",
+)
+pipeline("count", "orders", [{"$match": {"o_orderstatus": "F"}}, {"$count": "n"}], "SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+add(
+    "distinct",
+    lambda spark, sf_dir: load(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("value")).where("value is not null").distinct(),
+    "SELECT DISTINCT o_orderstatus AS value FROM orders WHERE o_orderstatus IS NOT NULL",
+)
+
+# Filters
+
+LINE = ["l_orderkey", "l_linenumber", "l_quantity"]
+find("find_eq", "orders", {"o_orderstatus": "F"}, ["o_orderkey", "o_orderstatus"], "o_orderstatus = 'F'")
+find("find_eq_explicit", "orders", {"o_custkey": {"$eq": 77}}, ["o_orderkey", "o_custkey"], "o_custkey = 77")
+find("find_ne", "customer", {"c_mktsegment": {"$ne": "BUILDING"}}, ["c_custkey", "c_mktsegment"], "c_mktsegment <> 'BUILDING'")
+find("find_gt_int", "part", {"p_size": {"$gt": 40}}, ["p_partkey", "p_size"], "p_size > 40")
+find("find_gt_int_fraction", "part", {"p_size": {"$gt": 39.5}}, ["p_partkey", "p_size"], "p_size > 39.5")
+find("find_gt_dbl", "part", {"p_retailprice": {"$gt": 980.0}}, ["p_partkey", "p_retailprice"], "p_retailprice > 980.0")
+find("find_gte_int", "lineitem", {"l_linenumber": {"$gte": 3}}, LINE, "l_linenumber >= 3")
+find("find_gte_dbl", "lineitem", {"l_quantity": {"$gte": 40.0}}, LINE, "l_quantity >= 40.0")
+find("find_lt_int", "lineitem", {"l_linenumber": {"$lt": 3}}, LINE, "l_linenumber < 3")
+find("find_lt_dbl", "lineitem", {"l_discount": {"$lt": 0.02}}, LINE, "l_discount < 0.02")
+find("find_lte_int", "lineitem", {"l_linenumber": {"$lte": 2}}, LINE, "l_linenumber <= 2")
+find("find_lte_dbl", "lineitem", {"l_quantity": {"$lte": 5.0}}, LINE, "l_quantity <= 5.0")
+find("find_range", "lineitem", {"l_quantity": {"$gt": 10, "$lt": 20}}, LINE, "l_quantity > 10 AND l_quantity < 20")
+find("find_array_any", "embeddings", {"embedding": {"$gt": 0.3}}, ["vec_id"], "len(list_filter(embedding, lambda x: x > 0.3)) > 0")
+find("find_array_ne", "embeddings", {"embedding": {"$ne": 0.5}}, ["vec_id"], "len(list_filter(embedding, lambda x: x <> 0.5)) > 0")
+find("find_class_mismatch", "orders", {"o_orderstatus": {"$gt": 5}}, ["o_orderkey"], "FALSE")
+find("find_missing_field", "orders", {"no_such_field": 1}, ["o_orderkey"], "FALSE")
+find("find_and", "lineitem", {"$and": [{"l_quantity": {"$gt": 45}}, {"l_returnflag": "R"}]}, LINE, "l_quantity > 45 AND l_returnflag = 'R'")
+find("find_and_implicit", "lineitem", {"l_quantity": {"$gt": 45}, "l_discount": {"$lt": 0.02}}, LINE, "l_quantity > 45 AND l_discount < 0.02")
+find("find_or", "lineitem", {"$or": [{"l_quantity": {"$lt": 2}}, {"l_discount": {"$gt": 0.09}}]}, LINE, "l_quantity < 2 OR l_discount > 0.09")
+find("find_mixed", "lineitem", {"$or": [{"l_quantity": {"$gt": 10, "$lt": 12}}, {"l_returnflag": "A", "l_linenumber": 1}]}, LINE, "(l_quantity > 10 AND l_quantity < 12) OR (l_returnflag = 'A' AND l_linenumber = 1)")
+find("find_mixed_swapped", "lineitem", {"$or": [{"l_returnflag": "A", "l_linenumber": 1}, {"l_quantity": {"$gt": 10, "$lt": 12}}]}, LINE, "(l_quantity > 10 AND l_quantity < 12) OR (l_returnflag = 'A' AND l_linenumber = 1)")
+find("find_nor", "orders", {"$nor": [{"o_orderstatus": "F"}, {"o_totalprice": {"$gt": 200000}}]}, ["o_orderkey"], "NOT COALESCE(o_orderstatus = 'F' OR o_totalprice > 200000, FALSE)")
+find("find_not", "orders", {"o_totalprice": {"$not": {"$gt": 100000}}}, ["o_orderkey"], "NOT COALESCE(o_totalprice > 100000, FALSE)")
+find("find_in", "nation", {"n_name": {"$in": ["NATION_1", "NATION_5", "NATION_20", 7]}, "n_regionkey": {"$in": [0, 1, 2, 3]}}, ["n_nationkey", "n_name"], "n_name IN ('NATION_1', 'NATION_5', 'NATION_20') AND n_regionkey IN (0, 1, 2, 3)")
+find("find_in_int", "orders", {"o_custkey": {"$in": [1, 2, 3.0, 4.5, "x"]}}, ["o_orderkey", "o_custkey"], "o_custkey IN (1, 2, 3)")
+find("find_nin", "nation", {"n_regionkey": {"$nin": [0, 2]}}, ["n_nationkey", "n_regionkey"], "NOT COALESCE(n_regionkey IN (0, 2), FALSE)")
+find("find_exists", "customer", {"c_acctbal": {"$exists": True}, "nothing": {"$exists": False}}, ["c_custkey"], "c_acctbal IS NOT NULL")
+find("find_type", "customer", {"c_name": {"$type": "string"}, "c_acctbal": {"$type": [1, 16]}}, ["c_custkey"], "c_name IS NOT NULL AND c_acctbal IS NOT NULL")
+find("find_mod", "part", {"p_partkey": {"$mod": [7, 3]}}, ["p_partkey"], "p_partkey % 7 = 3")
+find("find_regex", "customer", {"c_name": {"$regex": "#0+1[0-9]*5$"}}, ["c_custkey", "c_name"], "regexp_matches(c_name, '#0+1[0-9]*5$')")
+find("find_regex_options", "part", {"p_type": {"$regex": "eco|small", "$options": "i"}}, ["p_partkey", "p_type"], "regexp_matches(p_type, 'eco|small', 'i')")
+find("find_where", "lineitem", {"$where": "l_quantity * l_discount > 4"}, LINE, "l_quantity * l_discount > 4")
+find("find_size", "embeddings", {"embedding": {"$size": 64}}, ["vec_id"], "len(embedding) = 64")
+find("find_elemmatch", "embeddings", {"embedding": {"$elemMatch": {"$gt": 0.25, "$lt": 0.3}}}, ["vec_id"], "len(list_filter(embedding, lambda x: x > 0.25 AND x < 0.3)) > 0")
+find("find_time", "orders", {"o_orderdate": {"$gte": dt.datetime(1996, 1, 1), "$lt": dt.datetime(1997, 1, 1)}}, ["o_orderkey", "o_orderdate"], "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
+
+
+def _split_names(df: DataFrame) -> DataFrame:
+    """Words of the parts' names, as an array."""
+    return df.select("p_partkey", F.split("p_name", " ").alias("words"), F.struct(F.col("p_size").alias("size"), F.struct(F.col("p_brand").alias("brand")).alias("of")).alias("about"))
+
+
+def _on_parts(name: str, filter: dict, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _split_names(load(spark, sf_dir, "part"))
+        return df.where(compiled(filter, of_schema(df.schema))).select("p_partkey")
+
+    add(name, run, f"SELECT p_partkey FROM part WHERE {sql}")
+
+
+_on_parts("find_nested_path", {"about.size": {"$gt": 40}, "about.of.brand": {"$ne": "Brand#11"}}, "p_size > 40 AND p_brand <> 'Brand#11'")
+_on_parts("find_subdocument", {"about": {"size": 10}}, "p_size = 10")
+_on_parts("find_all_words", {"words": {"$all": ["small", "ring"]}}, "list_contains(string_split(p_name, ' '), 'small') AND list_contains(string_split(p_name, ' '), 'ring')")
+_on_parts("find_array_regex", {"words": {"$regex": "^r.*g$"}}, "len(list_filter(string_split(p_name, ' '), lambda x: regexp_matches(x, '^r.*g$'))) > 0")
+_on_parts("find_array_in", {"words": {"$in": ["red", "blue", "none"]}}, "list_has_any(string_split(p_name, ' '), ['red', 'blue', 'none'])")
+_on_parts("find_array_position", {"words.0": {"$gte": "m"}}, "string_split(p_name, ' ')[1] >= 'm'")
+
+
+def _json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("doc"))
+    return df.where(compiled({"k": {"$gt": 50}}, of_schema(df.schema, "doc"))).select("event_id", F.try_variant_get("doc", "$.k", "bigint").alias("k"))
+
+
+add("json_path", _json_path, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
+
+
+# Places: customers at (account balance, nation).
+
+PLACE = "c_acctbal, CAST(c_nationkey AS DOUBLE)"
+
+
+def _places(df: DataFrame) -> DataFrame:
+    return df.select("c_custkey", F.array("c_acctbal", F.col("c_nationkey").cast("double")).alias("loc"))
+
+
+def _geo(name: str, filter: dict, where: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _places(load(spark, sf_dir, "customer"))
+        return df.where(compiled(filter, of_schema(df.schema))).select("c_custkey")
+
+    add(name, run, f"SELECT c_custkey FROM (SELECT c_custkey, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer) WHERE {where}")
+
+
+_geo("find_geo_box", {"loc": {"$geoWithin": {"$box": [[0, 5], [1000, 15]]}}}, "x BETWEEN 0 AND 1000 AND y BETWEEN 5 AND 15")
+_geo("find_geo_center", {"loc": {"$geoWithin": {"$center": [[500, 10], 250.5]}}}, "sqrt(pow(x - 500, 2) + pow(y - 10, 2)) <= 250.5")
+_geo("find_geo_polygon", {"loc": {"$geoWithin": {"$polygon": [[0, 0], [2000, 0], [2000, 20.5]]}}}, "y > 0 AND x < 2000 AND y < x * 20.5 / 2000 OR (y = 0 AND x >= 0 AND x < 2000)")
+_geo("find_geo_intersects", {"loc": {"$geoIntersects": {"$geometry": {"type": "Polygon", "coordinates": [[[100.5, 2.5], [900.5, 2.5], [900.5, 9.5], [100.5, 9.5], [100.5, 2.5]]]}}}}, "x > 100.5 AND x < 900.5 AND y > 2.5 AND y < 9.5")
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filter = {"loc": {"$near": [500, 10], "$maxDistance": 100}}
+    df = _places(load(spark, sf_dir, "customer"))
+    scope = of_schema(df.schema)
+    return df.where(compiled(filter, scope)).orderBy(nearness(filter, scope), "c_custkey").limit(5).select("c_custkey")
+
+
+add("find_near", _near, "SELECT c_custkey FROM customer WHERE sqrt(pow(c_acctbal - 500, 2) + pow(c_nationkey - 10, 2)) <= 100 ORDER BY sqrt(pow(c_acctbal - 500, 2) + pow(c_nationkey - 10, 2)), c_custkey LIMIT 5")
+
+
+def _near_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "customer").select("c_custkey", F.struct((F.col("c_nationkey") * 5.0).alias("lon"), (F.col("c_acctbal") / 200).alias("lat")).alias("loc"))
+    filter = {"loc": {"$nearSphere": {"$geometry": {"type": "Point", "coordinates": [50, 10]}, "$maxDistance": 2_000_000}}}
+    return df.where(compiled(filter, of_schema(df.schema))).select("c_custkey")
+
+
+HAVERSINE = "2 * asin(sqrt(least(1.0, pow(sin(radians(lat - 10) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(lon - 50) / 2), 2))))"
+add("find_near_sphere", _near_sphere, f"SELECT c_custkey FROM (SELECT c_custkey, c_nationkey * 5.0::DOUBLE AS lon, c_acctbal / 200 AS lat FROM customer) WHERE {HAVERSINE} * 6378100 <= 2000000")
+
+# Projections
+
+
+def _with_id(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("c_custkey", "_id")
+
+
+project("project_all", "region", {}, "SELECT * FROM region")
+project("project_include", "customer", {"c_name": 1, "c_acctbal": True, "nothing": 1}, "SELECT c_name, c_acctbal FROM customer")
+project("project_exclude", "customer", {"c_name": 0, "c_acctbal": 0}, "SELECT * EXCLUDE (c_name, c_acctbal) FROM customer")
+project("project_id_default", "customer", {"c_name": 1}, "SELECT c_custkey AS _id, c_name FROM customer", _with_id)
+project("project_id_dropped", "customer", {"_id": 0}, "SELECT * EXCLUDE (c_custkey) FROM customer", _with_id)
+project("project_id_and_fields", "customer", {"_id": 0, "c_name": 1}, "SELECT c_name FROM customer", _with_id)
+project("project_computed", "lineitem", {"l_orderkey": 1, "l_linenumber": 1, "net": {"$add": ["$l_extendedprice", "$l_quantity"]}, "tripled": {"$multiply": ["$l_linenumber", 3]}}, "SELECT l_orderkey, l_linenumber, l_extendedprice + l_quantity AS net, CAST(l_linenumber AS BIGINT) * 3 AS tripled FROM lineitem")
+project("project_slice", "embeddings", {"vec_id": 1, "embedding": {"$slice": 3}}, "SELECT vec_id, embedding[1:3] AS embedding FROM embeddings")
+project("project_slice_tail", "embeddings", {"vec_id": 1, "embedding": {"$slice": [60, 2]}}, "SELECT vec_id, embedding[61:62] AS embedding FROM embeddings")
+project(
+    "project_positional", "embeddings", {"vec_id": 1, "embedding.$": 1},
+    "SELECT vec_id, list_filter(embedding, lambda x: x > 0.3)[1:1] AS embedding FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3)) > 0",
+    filter={"embedding": {"$gt": 0.3}},
+)
+add(
+    "project_nested",
+    lambda spark, sf_dir: projected(_split_names(load(spark, sf_dir, "part")), {"p_partkey": 1, "about.of.brand": 1}).select("p_partkey", F.col("about.of.brand").alias("brand")),
+    "SELECT p_partkey, p_brand AS brand FROM part",
+)
+add(
+    "project_nested_exclude",
+    lambda spark, sf_dir: projected(_split_names(load(spark, sf_dir, "part")), {"about.of": 0, "words": 0}).select("p_partkey", "about.*"),
+    "SELECT p_partkey, p_size AS size FROM part",
+)
+
+# Sources, sinks and changes
+
+
+def _own(spark: SparkSession) -> Database:
+    """A database of this application: a catalog in memory forgets tables whose files stay."""
+    return Database(spark, "docloom_" + re.sub(r"\W", "_", spark.sparkContext.applicationId))
+
+
+def _insert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection made by two inserts, found again."""
+    coll = _own(spark)["regions"]
+    coll.drop()
+    coll.insert_frame(load(spark, sf_dir, "region"))
+    coll.insert_many([{"r_regionkey": 100, "r_name": "NOWHERE", "note": "new"}, {"r_regionkey": 101, "note": None}])
+    return coll.find({}).select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name", "note")
+
+
+add("insert_roundtrip", _insert_roundtrip, "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name, CAST(NULL AS VARCHAR) AS note FROM region UNION ALL VALUES (100, 'NOWHERE', 'new'), (101, NULL, NULL)")
+
+
+def _save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection saved and loaded under another name."""
+    db = _own(spark)
+    at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{db.name}_saved/nation"
+    db.register("nation_view", load(spark, sf_dir, "nation")).save(at, mode="overwrite")
+    return db.load("nation_copy", at).find()
+
+
+add("save_load", _save_load, "SELECT * FROM nation")
+add(
+    "json_roundtrip",
+    lambda spark, sf_dir: _json_back(load(spark, sf_dir, "supplier")),
+    "SELECT * FROM supplier",
+)
+
+
+def _json_back(df: DataFrame) -> DataFrame:
+    """Documents as JSON and back."""
+    return to_json(df).select(F.from_json("value", df.schema).alias("d")).select("d.*")
+
+
+def _delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted(load(spark, sf_dir, "orders"), {"o_orderstatus": {"$in": ["F", "O"]}}).select("o_orderkey", "o_orderstatus")
+
+
+def _update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "supplier")
+    return updated(df, {"s_acctbal": {"$lt": 0}}, {"$set": {"s_name": "in debt", "flag": 1}, "$inc": {"s_nationkey": 100}})
+
+
+add("delete_many", _delete, "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT COALESCE(o_orderstatus IN ('F', 'O'), FALSE)")
+add(
+    "update_many",
+    _update,
+    "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'in debt' ELSE s_name END AS s_name, CASE WHEN s_acctbal < 0 THEN s_nationkey + 100 ELSE s_nationkey END AS s_nationkey, s_acctbal, CASE WHEN s_acctbal < 0 THEN CAST(1 AS BIGINT) END AS flag FROM supplier",
+)
+add(
+    "compare_collections",
+    lambda spark, sf_dir: load(spark, sf_dir, "nation").exceptAll(load(spark, sf_dir, "nation").where("n_nationkey > 3")),
+    "SELECT * FROM nation WHERE n_nationkey <= 3",
+)
+add(
+    "find_sorted",
+    lambda spark, sf_dir: sort(load(spark, sf_dir, "customer").where(compiled({"c_acctbal": {"$gt": 9000}}, of_schema(load(spark, sf_dir, "customer").schema))), {"c_acctbal": -1, "c_custkey": 1}).limit(25).select("c_custkey", "c_acctbal"),
+    "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000 ORDER BY 2 DESC, 1 LIMIT 25",
+)
