@@ -1,7 +1,8 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted in order.  Each is a logistic regression over the
-words of a text and over the log-odds that the chain has given the text for
+words of a text, over the beginnings of its longer words (which the forms of
+one word share), and over the log-odds that the chain has given the text for
 the categories before it.  For training, those log-odds are out-of-fold: each
 labelled row gets them from models that were fitted without it, so that later
 models see earlier predictions as good as they will be on new texts.
@@ -14,8 +15,7 @@ scored, whole, where they are read.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,29 +27,43 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import small_batches
 
 WORDS = re.compile(r"\w+").findall
-#: A word is a feature if this many labelled texts have it.
+#: Lengths of the beginnings that count as features of longer words.
+BEGINNINGS = (4, 5)
+#: A feature is used if this many labelled texts have it.
 LEAST_DOCS = 3
-#: Features of a category: the words whose presence tells most about it.
+#: Features of a category: those whose presence tells most about it.
 FEATURES = 3000
 FOLDS = 5
 CLIP = 8.0
 
+#: The labels' categories, in the order of the chain.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+#: Documents are toxic from this probability on.
+THRESHOLD = 1 / 3
+
 
 def words_of(text: str) -> set[str]:
     return set(WORDS(text.lower()))
 
 
+def features_of(words: Iterable[str]) -> set[str]:
+    """Words, and the beginnings of longer ones with a star."""
+    out = set(words)
+    for k in BEGINNINGS:
+        out |= {w[:k] + "*" for w in words if len(w) > k}
+    return out
+
+
 @dataclass
 class Linear:
-    """Logistic regression over word presence and a few numbers."""
+    """Logistic regression over the presence of features and over a few numbers."""
 
     bias: float
-    words: dict[str, float]
+    weights: dict[str, float]
     numbers: list[float]
 
-    def log_odds(self, words: set[str], numbers: list[float]) -> float:
-        known = self.words
-        score = self.bias + sum(known[w] for w in words & known.keys()) + sum(a * b for a, b in zip(self.numbers, numbers))
+    def log_odds(self, features: set[str], numbers: list[float]) -> float:
+        score = self.bias + sum(self.weights[f] for f in features & self.weights.keys()) + sum(a * b for a, b in zip(self.numbers, numbers))
         return min(CLIP, max(-CLIP, score))
 
 
@@ -59,49 +73,68 @@ class Chain:
     models: list[Linear] = field(default_factory=list)
 
     def log_odds(self, text: str) -> list[float]:
-        words, out = words_of(text), []
+        features, out = features_of(words_of(text)), []
         for model in self.models:
-            out.append(model.log_odds(words, out))
+            out.append(model.log_odds(features, out))
         return out
 
 
-def telling(texts: list[set[str]], y: np.ndarray) -> list[str]:
-    """Words by the log-likelihood ratio of their presence and the category; ties by word."""
-    every, positive = Counter(), Counter()
-    for words, label in zip(texts, y):
-        every.update(words)
-        if label:
-            positive.update(words)
-    names = sorted(w for w, n in every.items() if n >= LEAST_DOCS)
-    if not names:
-        return []
-    n, p = len(y), float(y.sum())
-    k = np.array([every[w] for w in names], dtype=float)
-    a = np.array([positive[w] for w in names], dtype=float)
+@dataclass
+class Sample:
+    """Labelled texts: the feature (a number) of each pair of a text and a feature that it has."""
+
+    names: list[str]
+    rows: np.ndarray
+    cols: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, texts: Iterable[Iterable[str]]) -> Sample:
+        place: dict[str, int] = {}
+        cols, sizes = [], []
+        for words in texts:
+            own = np.fromiter((place.setdefault(f, len(place)) for f in features_of(words)), dtype=np.int32)
+            cols.append(own)
+            sizes.append(len(own))
+        rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        return cls(list(place), rows, np.concatenate(cols) if cols else np.zeros(0, np.int32), len(sizes))
+
+
+def telling(sample: Sample, used: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features by the log-likelihood ratio of their presence and the category, over the texts ``used``; ties by name."""
+    d = len(sample.names)
+    mine = used[sample.rows]
+    k = np.bincount(sample.cols[mine], minlength=d).astype(float)
+    a = np.bincount(sample.cols[mine], y[sample.rows[mine]], minlength=d)
+    frequent = np.flatnonzero(k >= LEAST_DOCS)
+    n, p = float(used.sum()), float(y[used].sum())
+    k, a = k[frequent], a[frequent]
     table = np.stack([a, k - a, p - a, n - p - k + a])
-    expected = np.stack([k * p, k * (n - p), (n - k) * p, (n - k) * (n - p)]) / n
+    expected = np.stack([k * p, k * (n - p), (n - k) * p, (n - k) * (n - p)]) / max(n, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(table > 0, table * np.log(table / expected), 0).sum(axis=0)
-    return [names[i] for i in np.argsort(-gain, kind="stable")[:FEATURES]]
-
-
-def fitted(texts: list[set[str]], numbers: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 150) -> Linear:
-    """Logistic regression with an L2 penalty, by accelerated gradient steps; classes weigh alike."""
-    names = telling(texts, y)
-    place = {w: i for i, w in enumerate(names)}
-    rows, cols = [], []
-    for r, words in enumerate(texts):
-        own = sorted(place[w] for w in words & place.keys())
-        rows += [r] * len(own)
-        cols += own
-    rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
-    n, d, m = len(y), len(names), numbers.shape[1]
-    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+    candidates = np.argsort(-gain, kind="stable")[: 2 * FEATURES]
+    best = sorted(candidates, key=lambda i: (-round(gain[i], 9), sample.names[frequent[i]]))[:FEATURES]
+    return frequent[np.array(best, dtype=np.int64)]
+
+
+def fitted(sample: Sample, numbers: np.ndarray, y: np.ndarray, used: np.ndarray, penalty: float = 0.3, steps: int = 200) -> tuple[Linear, np.ndarray]:
+    """Logistic regression over the texts ``used`` with an L2 penalty, by accelerated gradient steps; and the log-odds of all texts."""
+    chosen = telling(sample, used, y)
+    d, m, n = len(chosen), numbers.shape[1], sample.n
+    slot = np.full(len(sample.names), -1)
+    slot[chosen] = np.arange(d)
+    here = slot[sample.cols] >= 0
+    all_rows, all_cols = sample.rows[here], slot[sample.cols[here]]
+    mine = used[all_rows]
+    rows, cols = all_rows[mine], all_cols[mine]
+    # Both classes weigh alike.
+    share = min(max(y[used].mean() if used.any() else 0.5, 1e-3), 1 - 1e-3)
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * used
     # A column's step follows from how many rows have it.
     seen = np.bincount(cols, weight[rows], d)
-    scale = np.concatenate([1 / (0.25 * seen + penalty), 1 / (0.25 * (weight @ numbers**2) + penalty), [1 / (0.25 * weight.sum())]])
-    widest = max(1.0, np.bincount(rows, minlength=n).mean() + m + 1) if n else 1.0
+    scale = np.concatenate([1 / (0.25 * seen + penalty), 1 / (0.25 * (weight @ numbers**2) + penalty), [1 / (0.25 * weight.sum() + 1e-9)]])
+    widest = max(1.0, len(rows) / max(1, used.sum()) + m + 1)
     w = np.zeros(d + m + 1)
     ahead, t = w.copy(), 1.0
     for _ in range(steps):
@@ -113,31 +146,29 @@ def fitted(texts: list[set[str]], numbers: np.ndarray, y: np.ndarray, penalty: f
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead, w = new + (before - 1) / t * (new - w), new
     # Back from equal classes to their shares in the sample.
-    bias = w[-1] + np.log(share / (1 - share))
-    return Linear(float(bias), {name: float(v) for name, v in zip(names, w[:d]) if abs(v) > 1e-6}, [float(x) for x in w[d : d + m]])
+    bias = float(w[-1] + np.log(share / (1 - share)))
+    odds = np.clip(np.bincount(all_rows, w[all_cols], n) + numbers @ w[d : d + m] + bias, -CLIP, CLIP)
+    weights = {sample.names[chosen[i]]: float(w[i]) for i in np.flatnonzero(np.abs(w[:d]) > 1e-6)}
+    return Linear(bias, weights, [float(x) for x in w[d : d + m]]), odds
 
 
-def fit_chain(texts: list[set[str]], labels: np.ndarray, categories: list[str], folds: np.ndarray) -> Chain:
+def fit_chain(sample: Sample, labels: np.ndarray, categories: list[str], folds: np.ndarray) -> Chain:
     """A chain over ``labels`` (one column for each category), with out-of-fold log-odds between its links."""
     chain = Chain(categories)
-    numbers = np.zeros((len(texts), 0))
+    numbers, everything = np.zeros((sample.n, 0)), np.ones(sample.n, dtype=bool)
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
-        outside = np.zeros(len(texts))
+        outside = np.zeros(sample.n)
         if k + 1 < len(categories):
             for fold in range(FOLDS):
-                inside = np.flatnonzero(folds != fold)
-                left = np.flatnonzero(folds == fold)
-                if not len(left) or not len(inside):
-                    continue
-                model = fitted([texts[i] for i in inside], numbers[inside], y[inside])
-                outside[left] = [model.log_odds(texts[i], list(numbers[i])) for i in left]
-        chain.models.append(fitted(texts, numbers, y))
+                left = folds == fold
+                outside[left] = fitted(sample, numbers, y, ~left)[1][left]
+        chain.models.append(fitted(sample, numbers, y, everything)[0])
         numbers = np.column_stack([numbers, outside])
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_labelled: int = 6000, text: str = "text", doc_id: str = "doc_id") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_labelled: int = 8000, text: str = "text", doc_id: str = "doc_id") -> Chain:
     """A chain for ``categories``: names to SQL conditions over ``labels``, in the order of the chain.
 
     At most ``max_labelled`` rows of ``labels`` are used, the first by a hash
@@ -156,14 +187,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_la
             yield pa.RecordBatch.from_arrays([batch.column("fold"), *(batch.column(c) for c in names), words], ["fold", *names, "words"])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
-    sample = rows.select(fold, *names, "text", "doc_id").mapInArrow(run, f"fold int, {', '.join(f'{c} int' for c in names)}, words array<string>")
-    got = sample.toArrow()
-    texts = [set(x) for x in got.column("words").to_pylist()]
-    values = np.column_stack([got.column(c).to_numpy() for c in names]) if texts else np.zeros((0, len(names)))
-    # Rows come in the order of the scan; the fit's result doesn't depend on it but for rounding.
-    if not texts:
+    got = rows.select(fold, *names, "text").mapInArrow(run, f"fold int, {', '.join(f'{c} int' for c in names)}, words array<string>").toArrow()
+    if not got.num_rows:
         return Chain(list(categories), [Linear(0.0, {}, [0.0] * k) for k in range(len(categories))])
-    return fit_chain(texts, values, list(categories), got.column("fold").to_numpy())
+    sample = Sample.of(x.as_py() for x in got.column("words"))
+    values = np.column_stack([got.column(c).to_numpy() for c in names])
+    return fit_chain(sample, values, list(categories), got.column("fold").to_numpy())
 
 
 def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
@@ -183,8 +212,3 @@ def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
     schema = StructType([*rows.schema.fields, *(StructField(n, DoubleType()) for n in names)])
     return rows.mapInArrow(run, schema)
-
-
-#: The labels' categories, in the order of the chain.
-CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
-THRESHOLD = 0.5
