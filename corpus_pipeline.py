@@ -23,18 +23,18 @@ def _like(docs: DataFrame, of: DataFrame) -> DataFrame:
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of being toxic is below one half, by a chain fitted on ``labels``."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
-    return toxicity.scored(docs, chain).where(F.col("p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.scored(docs, chain, prefix="__p_").where(F.col("__p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 words and more are deleted; a document of which nothing is left goes."""
-    rows = linededup.without_repeats(docs, words=50)
-    return _like(rows.where((F.col("n_removed") == 0) | (F.trim("text") != "")), docs)
+    rows = linededup.without_repeats(docs, words=50, prefix="__")
+    return _like(rows.where((F.col("__n_removed") == 0) | (F.trim("text") != "")), docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates (shingles of five words), one row with the smallest id stays."""
-    groups = simhash.simhash_groups(docs, words=5)
+    """Of each group of SimHash near-duplicates (shingles of five words, a similarity of 0.8), one row with the smallest id stays."""
+    groups = simhash.similar_groups(docs, words=5, similarity=0.8)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 

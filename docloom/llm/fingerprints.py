@@ -90,14 +90,15 @@ def next_value(values: DataFrame, name: str, levels: int) -> DataFrame:
     blocks' smallest values, found by calling this again over the blocks.  The
     last level has the few values that 64 bits leave.
     """
+    values = values.select(F.col(name).alias("v"))
     if levels == 0:
-        return values.selectExpr(name, f"coalesce(lead({name}) over (order by {name}), min({name}) over ()) as next")
-    blocks = values.withColumn("up", F.shiftright(name, UP_BITS))
-    inside = blocks.selectExpr(name, "up", f"lead({name}) over (partition by up order by {name}) as next")
-    firsts = blocks.groupBy("up").agg(F.min(name).alias("first"))
-    after = next_value(firsts.select("up"), "up", levels - 1)
+        return values.selectExpr(f"v as {name}", "coalesce(lead(v) over (order by v), min(v) over ()) as next")
+    blocks = values.withColumn("up", F.shiftright("v", UP_BITS))
+    inside = blocks.selectExpr("v", "up", "lead(v) over (partition by up order by v) as next")
+    firsts = blocks.groupBy("up").agg(F.min("v").alias("first"))
+    after = next_value(firsts, "up", levels - 1)
     across = after.join(firsts.withColumnRenamed("up", "next"), "next").select("up", "first")
-    return inside.join(across, "up").select(name, F.coalesce("next", "first").alias("next"))
+    return inside.join(across, "up").select(F.col("v").alias(name), F.coalesce("next", "first").alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def extended(least: int):
     return run
 
 
-def without_repeats(docs: DataFrame, words: int = 50, noise: int = 25, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def without_repeats(docs: DataFrame, words: int = 50, noise: int = 25, text: str = "text", doc_id: str = "doc_id", prefix: str = "") -> DataFrame:
     """``docs`` with later copies of passages deleted, and n_lines, n_removed, removed.
 
     A passage is a run of lines with at least ``words`` words that an earlier
@@ -108,7 +108,8 @@ def without_repeats(docs: DataFrame, words: int = 50, noise: int = 25, text: str
     folded for comparison only.  Documents of fewer words, null texts and rows
     without an id stay as they are.  Rows that repeat an id and a text are one
     place: of those, copies are not deleted from each other.  Columns keep
-    their names; n_lines, n_removed and removed replace columns so called.
+    their names; n_lines, n_removed and removed, behind ``prefix``, replace
+    columns so called.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"xxhash64(cast(`{text}` as string)) as body", f"cast(`{text}` as string) as text").where("doc_id is not null and text is not null")
@@ -124,17 +125,17 @@ def without_repeats(docs: DataFrame, words: int = 50, noise: int = 25, text: str
     runs = paired.mapInArrow(extended(words), f"doc_id {kind}, body bigint, lo bigint, hi bigint")
     gone = runs.groupBy(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__gone"))
 
-    names = ("n_lines", "n_removed", "removed")
+    names = tuple(prefix + c for c in ("n_lines", "n_removed", "removed"))
     keep = [c for c in docs.columns if c not in names]
     value = F.col(text).cast("string")
     marked = docs.select(*keep, F.col(doc_id).alias("__id"), F.xxhash64(value).alias("__body")).join(cut(gone), ["__id", "__body"], "left")
     lines_of = F.split(value, "\n", -1)
     rest = F.filter(lines_of, lambda _, i: ~F.exists("__gone", lambda g: (i >= g["lo"]) & (i < g["hi"])))
     hit = F.col("__gone").isNotNull()
-    marked = marked.withColumn("__rest", F.when(hit, rest)).withColumn("n_lines", F.when(value.isNull(), 0).otherwise(F.size(lines_of)))
+    marked = marked.withColumn("__rest", F.when(hit, rest)).withColumn("__lines", F.when(value.isNull(), 0).otherwise(F.size(lines_of)))
     return marked.select(
         *(F.when(hit, F.array_join("__rest", "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in keep),
-        "n_lines",
-        F.when(hit, F.col("n_lines") - F.size("__rest")).otherwise(0).alias("n_removed"),
-        F.when(hit, F.array_join(F.transform("__gone", lambda g: F.concat_ws(":", g["lo"], g["hi"])), ",")).otherwise("").alias("removed"),
+        F.col("__lines").alias(names[0]),
+        F.when(hit, F.col("__lines") - F.size("__rest")).otherwise(0).alias(names[1]),
+        F.when(hit, F.array_join(F.transform("__gone", lambda g: F.concat_ws(":", g["lo"], g["hi"])), ",")).otherwise("").alias(names[2]),
     )

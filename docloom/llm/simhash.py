@@ -13,10 +13,18 @@ fingerprint therefore enters 30 cells, each keyed by the counts in one
 hyperplane, and fingerprints within the radius share a cell.  In the cells the
 Manhattan bound screens pairs and the Hamming distance decides.  Only equal
 fingerprints are merged before, and no link is lost.
+
+A similarity such as 0.8 lies far beyond four bits.  For it,
+:func:`similar_groups` takes fingerprints of 256 bits, of which it reads the
+cosine of two texts' shingle counts, and cells keyed by sampled bits, in as
+many tables as the recall wanted needs.  There the fingerprints only propose:
+each cell gives the minimum spanning forest of its near pairs, and whether the
+texts of a proposed pair share enough of their shingles is decided exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +45,13 @@ GROUPS = 16
 BLOCK = 256
 
 
-def simhash(text: str, words: int = 4) -> int:
-    """The 64-bit fingerprint of ``text``; 0 where it has no word.
+def simhash(text: str, words: int = 4, lanes: int = 1) -> int:
+    """The fingerprint of ``text``, of 64 bits for each lane; 0 where it has no word.
 
     ASCII capitals are lowered; words are what lies between ASCII white space;
     shingles count as often as they occur, and a text of fewer words has one.
+    The first lane's bits come from the shingles' hashes, those of further
+    lanes from mixes of them.
     """
     tokens = text.encode().lower().split()
     if not tokens:
@@ -57,23 +67,40 @@ def simhash(text: str, words: int = 4) -> int:
         digest = xxhash.xxh64_intdigest
         starts = [0, *[e + 1 for e in ends]]
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros(64 * lanes, dtype=np.int64)
+    salts = np.arange(lanes, dtype=np.uint64)
     for k in range(0, len(hashes), 4096):
-        part = np.array(hashes[k : k + 4096], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        part = np.array(hashes[k : k + 4096], dtype=np.uint64)
+        if lanes > 1:
+            part = np.where(salts > 0, mixed(part[:, None], salts), part[:, None])
+        bits = part.astype(">u8").view(np.uint8).reshape(-1, 8 * lanes)
+        counts += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def simhashes(docs: DataFrame, words: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp bigint): the fingerprints' bits as signed numbers; null texts count as empty."""
+def simhashes(docs: DataFrame, words: int = 4, lanes: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp) of every document; null texts count as empty.
+
+    With one lane ``fp`` is a bigint with the fingerprint's bits, with more it
+    is binary.
+    """
     rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps = np.array([simhash(x or "", words) for x in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = [simhash(x or "", words, lanes) for x in batch.column("text").to_pylist()]
+            column = pa.array(np.array(fps, dtype=np.uint64).view(np.int64)) if lanes == 1 else pa.array([x.to_bytes(8 * lanes, "big") for x in fps], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp {'bigint' if lanes == 1 else 'binary'}")
+
+
+def lanes_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints as rows of 64-bit lanes."""
+    if column.type == pa.int64():
+        return column.to_numpy().view(np.uint64)[:, None]
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(len(raw), -1)
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -121,6 +148,7 @@ def mixed(keys: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 30 cells of each fingerprint of one lane."""
     masks = hyperplanes()
     salts = np.arange(1, len(masks) + 1, dtype=np.uint64)
     for batch in batches:
@@ -130,51 +158,196 @@ def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, len(masks)).view(np.int64))], ["cell", "fp"])
 
 
-def linked_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_sampled_cells(bits: int, tables: int, lanes: int, seed: int = 11):
+    """Cells keyed by ``bits`` bits, drawn anew for each of ``tables`` tables."""
+    rng = np.random.default_rng(seed)
+    masks = np.zeros((tables, lanes), dtype=np.uint64)
+    for t in range(tables):
+        for b in rng.choice(64 * lanes, bits, replace=False).tolist():
+            masks[t, b // 64] |= np.uint64(1 << (b % 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                column = whole.column("fp").slice(at, 1024)
+                fps = lanes_of(column)
+                keys = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), (len(fps), tables))
+                for lane in range(lanes):
+                    keys = mixed(fps[:, lane, None] & masks[None, :, lane], keys)
+                again = column.take(pa.array(np.repeat(np.arange(len(fps)), tables)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), again], ["cell", "fp"])
+
+    return run
+
+
+def linked_forest(radius: int):
     """For rows sorted into groups, pairs that join what lies within the radius.
 
     Of the links inside a batch only a spanning forest leaves the task: at
     most one pair a row.
     """
-    for rows in whole_groups(batches, ["cell", "i", "j"]):
-        fps = rows.column("fp").to_numpy().view(np.uint64)
-        values, where = np.unique(fps, return_inverse=True)
-        forest = Forest(len(values))
-        coded = segment_counts(fps)
-        starts = group_starts(rows, ["cell", "i", "j"])
-        ends = np.append(starts[1:], len(fps))
-        small = ends - starts <= BLOCK
-        end_of = np.repeat(np.where(small, ends, 0), ends - starts)
-        at = np.flatnonzero(end_of > np.arange(len(fps)) + 1)
-        step = 1
-        while len(at):
-            a, b = at, at + step
-            near = manhattan(coded[a], coded[b]) <= RADIUS
-            a, b = a[near], b[near]
-            near = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
-            forest.add(where[a[near]], where[b[near]])
-            step += 1
-            at = at[at + step < end_of[at]]
-        for start, end in zip(starts[~small], ends[~small]):
-            for lo in range(start, end, BLOCK):
-                hi = min(lo + BLOCK, end)
-                near = manhattan(coded[lo:hi, None], coded[None, lo:end]) <= RADIUS
-                a, b = np.nonzero(near)
-                a, b = a + lo, b + lo
-                near = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
-                forest.add(where[a[near]], where[b[near]])
-        inner = np.flatnonzero(forest.label != np.arange(len(values)))
-        signed = values.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(signed[forest.label[inner]]), pa.array(signed[inner])], ["a", "b"])
+
+    def within(fps: np.ndarray, coded: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = manhattan(coded[a], coded[b]).sum(axis=1, dtype=np.int64) <= radius
+        a, b = a[near], b[near]
+        near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= radius
+        return a[near], b[near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["cell", "i", "j"]):
+            column = rows.column("fp").combine_chunks()
+            fps = lanes_of(column)
+            _, first, where = np.unique(fps.view(f"V{8 * fps.shape[1]}").ravel() if fps.shape[1] > 1 else fps[:, 0], return_index=True, return_inverse=True)
+            forest = Forest(len(first))
+            coded = segment_counts(fps)
+            starts = group_starts(rows, ["cell", "i", "j"])
+            ends = np.append(starts[1:], len(fps))
+            small = ends - starts <= BLOCK
+            end_of = np.repeat(np.where(small, ends, 0), ends - starts)
+            at = np.flatnonzero(end_of > np.arange(len(fps)) + 1)
+            step = 1
+            while len(at):
+                a, b = within(fps, coded, at, at + step)
+                forest.add(where[a], where[b])
+                step += 1
+                at = at[at + step < end_of[at]]
+            for start, end in zip(starts[~small], ends[~small]):
+                for k in range(start, end - 1):
+                    # What the row's tree has already needs no comparison.
+                    others = np.arange(k + 1, end)
+                    others = others[forest.label[where[others]] != forest.label[where[k]]]
+                    a, b = within(fps, coded, np.full(len(others), k), others)
+                    forest.add(where[a], where[b])
+            inner = np.flatnonzero(forest.label != np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(first[forest.label[inner]])), column.take(pa.array(first[inner]))], ["a", "b"])
+
+    return run
+
+
+def hooked(label: Forest, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins trees by some of the pairs and says by which; all pairs end up in one tree each."""
+    chosen = []
+    left = np.arange(len(a))
+    while True:
+        x, y = label.label[a[left]], label.label[b[left]]
+        differ = x != y
+        if not differ.any():
+            return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
+        left, x, y = left[differ], x[differ], y[differ]
+        # Each tree hooks onto one with a smaller label: no cycle arises.
+        _, first = np.unique(np.maximum(x, y), return_index=True)
+        chosen.append(left[first])
+        label.add(a[left[first]], b[left[first]])
+
+
+def nearest_forest(radius: int):
+    """For rows sorted into groups, the pairs of each group's minimum spanning forest within the radius."""
+
+    def distances(fps: np.ndarray, a, b) -> np.ndarray:
+        return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=-1, dtype=np.int64)
+
+    def spanning(fps: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
+        """Prim's algorithm over one large group: as much memory as it has rows."""
+        rest = np.arange(start + 1, end)
+        best, near = distances(fps, rest, start), np.full(len(rest), start)
+        while len(rest):
+            k = int(best.argmin())
+            new = int(rest[k])
+            if best[k] <= radius:
+                yield int(near[k]), new
+            rest, best, near = np.delete(rest, k), np.delete(best, k), np.delete(near, k)
+            now = distances(fps, rest, new)
+            closer = now < best
+            best[closer], near[closer] = now[closer], new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["cell", "i", "j"]):
+            column = rows.column("fp").combine_chunks()
+            fps = lanes_of(column)
+            coded = unary(segment_counts(fps))
+            starts = group_starts(rows, ["cell", "i", "j"])
+            ends = np.append(starts[1:], len(fps))
+            small = ends - starts <= BLOCK
+            end_of = np.repeat(np.where(small, ends, 0), ends - starts)
+            at = np.flatnonzero(end_of > np.arange(len(fps)) + 1)
+            pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            step = 1
+            while len(at):
+                bound = np.bitwise_count(coded[at] ^ coded[at + step]).sum(axis=1, dtype=np.int64)
+                a = at[bound <= radius]
+                d = distances(fps, a, a + step)
+                pairs.append((a[d <= radius], a[d <= radius] + step, d[d <= radius]))
+                step += 1
+                at = at[at + step < end_of[at]]
+            a, b, d = (np.concatenate(x) if pairs else np.zeros(0, dtype=np.int64) for x in (list(zip(*pairs)) or [[], [], []]))
+            # Kruskal's algorithm, one distance at a time.
+            trees, kept = Forest(len(fps)), []
+            for level in np.unique(d):
+                same = np.flatnonzero(d == level)
+                kept.append(same[hooked(trees, a[same], b[same])])
+            chosen = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
+            left, right = a[chosen].tolist(), b[chosen].tolist()
+            for start, end in zip(starts[~small].tolist(), ends[~small].tolist()):
+                for x, y in spanning(fps, start, end):
+                    left.append(x)
+                    right.append(y)
+            kinds = pa.int64()
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(left, kinds)), column.take(pa.array(right, kinds))], ["a", "b"])
+
+    return run
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles of ``text``, sorted; words as for :func:`simhash`."""
+    tokens = text.encode().lower().split()
+    if len(tokens) <= words:
+        shingles = [b" ".join(tokens)]
+    else:
+        shingles = [b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
+
+
+def shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            sets = [shingle_set(x or "", words).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array(sets, pa.binary())], ["first", "shingles"])
+
+    return run
+
+
+def confirmed(similarity: float):
+    """Pairs whose sets share at least ``similarity`` of their union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = []
+            for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                yes.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    return run
 
 
 def linked(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fingerprints whose graph has the components of all links.
+    """Pairs (a, b) of fingerprints whose graph has the components of all links within four bits.
 
-    ``fps`` has one column fp of distinct fingerprints.
+    ``fps`` has distinct fingerprints of one lane in its column fp.
     """
     cells = fps.select("fp").mapInArrow(in_cells, "cell bigint, fp bigint")
-    return dealt_cells(cells, "cell", "fp").mapInArrow(linked_forest, "a bigint, b bigint")
+    return dealt_cells(cells, "cell", "fp").mapInArrow(linked_forest(RADIUS), "a bigint, b bigint")
+
+
+def grouped(marked: DataFrame, pairs_of) -> DataFrame:
+    """(doc_id, fp, component_id) from (doc_id, fp) and a function from distinct fingerprints to linked pairs."""
+    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = connected_components(pairs_of(least)).select(F.col("node").alias("fp"), "root")
+    placed = cut(least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_fp = cut(placed.join(firsts, "root").select("fp", "component_id"))
+    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -184,12 +357,40 @@ def simhash_groups(docs: DataFrame, words: int = 4, text: str = "text", doc_id:
     ``component_id`` is the smallest id reachable by links.  Documents without
     a word have fingerprint 0 and are linked like others.  A null id is never
     the smallest unless its component has no other.  Repeated rows stay
-    repeated; an empty table gives no rows.
+    repeated; an empty table gives no rows; other columns are not read.
     """
-    marked = cut(simhashes(docs, words, text, doc_id))
-    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(linked(least)).select(F.col("node").alias("fp"), "root")
-    placed = cut(least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = cut(placed.join(firsts, "root").select("fp", "component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return grouped(cut(simhashes(docs, words, 1, text, doc_id)), linked)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 5e-3, bucket: int = 64, lanes: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, component_id) of every document, by the part of their shingles that texts share.
+
+    Documents are linked where their sets of shingles have a Jaccard
+    similarity of ``similarity`` or more, and where their fingerprints are
+    equal.  Such texts have a cosine of 2 s / (1 + s), by which the bits of
+    their fingerprints differ; pairs are proposed up to three standard
+    deviations more, and the tables overlook a pair at the threshold with
+    probability ``missed`` at most.  The number of bits of a cell follows the
+    number of fingerprints, so that cells keep their size.  Nulls, ids and
+    repeated rows as in :func:`simhash_groups`.
+    """
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.ceil(64 * lanes * differ + 3 * math.sqrt(64 * lanes * differ * (1 - differ)))
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def pairs_of(least: DataFrame) -> DataFrame:
+        n = least.count()
+        bits = max(6, math.ceil(math.log2(max(n, 1) / bucket)))
+        tables = math.ceil(math.log(missed) / math.log1p(-((1 - differ) ** bits)))
+        cells = least.select("fp").mapInArrow(in_sampled_cells(bits, tables, lanes), "cell bigint, fp binary")
+        proposed = dealt_cells(cells, "cell", "fp").mapInArrow(nearest_forest(radius), "a binary, b binary")
+        proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        # One document stands for each fingerprint that has a proposal.
+        ends = cut(proposed.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(least, "fp"))
+        texts = docs.select(F.col(doc_id).alias("first"), F.col(text).cast("string").alias("text")).join(ends.select("first").distinct(), "first", "left_semi")
+        sets = texts.mapInArrow(shingle_sets(words), f"first {kind}, shingles binary").dropDuplicates(["first"])
+        sets = cut(ends.join(sets, "first").select("fp", "shingles"))
+        both = proposed.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
+        return both.select("a", "b", "s", "t").mapInArrow(confirmed(similarity), "a binary, b binary")
+
+    return grouped(cut(simhashes(docs, words, lanes, text, doc_id)), pairs_of)

@@ -195,13 +195,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_la
     return fit_chain(sample, values, list(categories), got.column("fold").to_numpy())
 
 
-def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """``docs`` with p_<category> for each category of ``chain``.
+def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
+    """``docs`` with ``prefix`` and name of each category of ``chain`` as columns.
 
     A null text counts as empty.  All columns are kept, repeated rows too;
-    columns named p_<category> are replaced.
+    columns of those names are replaced.
     """
-    names = [f"p_{c}" for c in chain.categories]
+    names = [f"{prefix}{c}" for c in chain.categories]
     rows = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
