@@ -16,7 +16,7 @@ from docloom.llm.common import shared_dir, table
 def _like(docs: DataFrame, of: DataFrame) -> DataFrame:
     """``docs`` with the columns of ``of``; n_chars, where there is one, follows the text."""
     if "n_chars" in of.columns:
-        docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+        docs = docs.withColumn("n_chars", F.char_length("text").cast(of.schema["n_chars"].dataType))
     return docs.select(*of.columns)
 
 
@@ -33,10 +33,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates (shingles of five words, a similarity of 0.8), one row with the smallest id stays."""
+    """Of each group of SimHash near-duplicates (shingles of five words, a similarity of 0.8), the row with the smallest id stays; so do rows without an id."""
     groups = simhash.similar_groups(docs, words=5, similarity=0.8)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

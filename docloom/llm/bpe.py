@@ -17,7 +17,6 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -176,9 +175,3 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
-def ids_bytes(path: str):
-    """A function from a text to its ids as a NumPy array, for packing; read once for each process."""
-    t = tokenizer(path)
-    return lambda text: np.array(t.encode(text), dtype=np.uint32)

@@ -25,8 +25,8 @@ from .common import small_batches, strings
 
 #: Limits of a shard; a document beyond them is a shard by itself.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
-#: BM25's parameters, terms of a query and neighbours returned.
-K1, B, TERMS, NEIGHBOURS = 1.2, 0.75, 12, 16
+#: BM25's parameters, and neighbours returned.
+K1, B, NEIGHBOURS = 1.2, 0.75, 16
 
 
 @lru_cache(maxsize=4)
@@ -62,19 +62,19 @@ class Index:
         by_term = np.argsort(slot, kind="stable")
         self.owner, self.weight = owner[by_term], weight[by_term]
         self.at = np.concatenate([[0], np.cumsum(df)])
-        # A document's query: its weightiest terms among those that others share.
-        shared = np.flatnonzero(df[slot] > 1)
-        shared = shared[np.lexsort((slot[shared], -weight[shared], owner[shared]))]
-        firsts = np.searchsorted(owner[shared], np.arange(n + 1))
-        self.queries = [slot[shared[a : min(b, a + TERMS)]] for a, b in zip(firsts, firsts[1:])]
+        # A document's query: all its terms that others share.
+        shared = df[slot] > 1
+        self.slots, firsts = slot[shared], np.searchsorted(owner[shared], np.arange(n + 1))
+        self.queries = list(zip(firsts[:-1].tolist(), firsts[1:].tolist()))
 
     def nearest(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents by falling score; ties by position."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.queries[doc]]
-        if not spans:
-            return np.empty(0, dtype=np.int64)
-        owners = np.concatenate([self.owner[s] for s in spans])
-        scores = np.bincount(owners, np.concatenate([self.weight[s] for s in spans]), self.n)
+        first, end = self.queries[doc]
+        terms = self.slots[first:end]
+        starts, counts = self.at[terms], self.at[terms + 1] - self.at[terms]
+        # The positions of all the terms' postings.
+        places = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(terms) else starts
+        scores = np.bincount(self.owner[places], self.weight[places], self.n)
         scores[~unused] = 0
         best = np.argpartition(-scores, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
         best = best[scores[best] > 0]

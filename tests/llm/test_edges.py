@@ -13,6 +13,7 @@ from test_contracts import canonical, check_line_dedup, check_packing, check_pii
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from docloom.llm.common import cut
 from docloom.llm import bpe, fingerprints, linededup, packing, pii, sharding, simhash, toxicity, vectors, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -190,6 +191,26 @@ def test_packing(docs, plain):
     assert sum(r["length"] for r in again) == 2 * again[0]["doc_tokens"]
 
 
+def test_packing_index_recall():
+    """The index's neighbours against BM25 computed pair by pair."""
+    rng = np.random.default_rng(5)
+    docs = [(rng.zipf(1.3, rng.integers(5, 400)) % 500).astype(np.uint32) for _ in range(120)]
+    index, n = packing.Index(docs), len(docs)
+    mean = np.mean([len(d) for d in docs])
+    df = {t: sum(t in set(d.tolist()) for d in docs) for t in range(500)}
+    found = 0
+    for q in range(0, n, 10):
+        scores = []
+        for d in docs:
+            tf = np.bincount(d, minlength=500)
+            scores.append(sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[q].tolist())))
+        scores[q] = -1
+        unused = np.ones(n, dtype=bool)
+        unused[q] = False
+        found += len(set(np.argsort(scores)[-packing.NEIGHBOURS :]) & set(index.nearest(q, unused).tolist()))
+    assert found / (packing.NEIGHBOURS * n / 10) >= 0.98
+
+
 def test_packing_retrieves():
     """Neighbours come from the seed's own topic while there are any."""
     rng = np.random.default_rng(3)
@@ -295,6 +316,24 @@ def test_best_fit(n):
     assert sorted(left) == sorted(bins)
 
 
+def test_rows_without_ids(spark):
+    """Rows without an id come back, as often as they are there."""
+    rows = [(None, "no id here"), (None, "no id here"), (None, None), (7, "an id"), (7, "an id"), (8, "another")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (
+        fingerprints.edited_fingerprints(df), fingerprints.fingerprints(df), bpe.encoded(df, PATH), simhash.simhash_groups(df), simhash.similar_groups(df),
+        pii.span_digests(df), linededup.without_repeats(df), sharding.sharded(df), packing.pack(df, PATH).where("start = 0"),
+    ):
+        got = [r["doc_id"] for r in out.collect()]
+        assert got.count(None) == 3 and got.count(7) == 2 and got.count(8) == 1
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert sorted(str(r["page_id"]) for r in warc.archived(pages).collect()) == ["7", "7", "8", "None", "None", "None"]
+    vecs = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in vectors.near_vectors(vecs).collect()) == [("1", 1, True), ("1", 1, True), ("None", 0, True)]
+    kept = corpus_pipeline.without_near_duplicates(spark, df, "")
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["7", "8", "None", "None", "None"]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     """Every stage takes any table with ids and texts, empty ones too, and all but the last keep its columns."""
     sf = "/root/testdata/sf0.001"
@@ -310,7 +349,7 @@ def test_pipeline(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    kept = corpus_pipeline.without_toxic(spark, docs, sf).localCheckpoint()
+    kept = cut(corpus_pipeline.without_toxic(spark, docs, sf))
     left = {r["doc_id"] for r in kept.collect()}
     assert np.mean([(i in left) == (not t) for i, t in labels.items()]) > 0.95
     lines = corpus_pipeline.without_repeated_lines(spark, kept, sf)
