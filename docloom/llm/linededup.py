@@ -6,7 +6,10 @@ window the gram with the smallest hash is selected, so that two places which
 share a passage of ``words`` words select the same gram in it (winnowing).
 Selected grams are joined with the gram's first place in the corpus; each match
 is extended both ways, line by line, and if the shared run holds ``words``
-words, the later copy goes.  A run is deleted only where an earlier place has
+words, the later copy goes.  As a gram's first place may lack the rest of a
+passage that two later places share, windows of several lines that select a
+smaller gram are joined with their own first place too: no repeated window is
+missed.  A run is deleted only where an earlier place has
 the same lines, so that the first copy of every line stays.
 """
 
@@ -34,7 +37,7 @@ def line_hashes(text: str) -> tuple[list[int], list[int]]:
 
 
 def winnowed(hashes: list[int], words: list[int], noise: int, least: int) -> tuple[list[int], list[int]]:
-    """Selected lines and the hashes of their grams."""
+    """Lines at which a selected gram or a window begins, and its hash."""
     n = len(hashes)
     before = np.concatenate([[0], np.cumsum(words)])
     if before[-1] < least:
@@ -48,13 +51,15 @@ def winnowed(hashes: list[int], words: list[int], noise: int, least: int) -> tup
         if gram_end[i] > n:
             break
         grams.append(xxhash.xxh64_intdigest(h[i : gram_end[i]].tobytes()) >> 1)
-    picked: dict[int, int] = {}
+    picked: dict[tuple[int, int], None] = {}
     stops = np.searchsorted(gram_end[: len(grams)], window_end, side="right").tolist()
     for i in range(int(np.searchsorted(window_end, n, side="right"))):
         # Of equal grams the last, so that repeated lines are picked once.
         best = min(range(i, stops[i]), key=lambda k: (grams[k], -k))
-        picked[best] = grams[best]
-    return list(picked), list(picked.values())
+        picked[best, grams[best]] = None
+        if best != i or gram_end[best] != window_end[i]:
+            picked[i, xxhash.xxh64_intdigest(h[i : window_end[i]].tobytes()) >> 1] = None
+    return [i for i, _ in picked], [x for _, x in picked]
 
 
 def outlined(noise: int, least: int):

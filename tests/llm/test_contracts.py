@@ -6,6 +6,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from docloom.llm.queries import QUERIES
+from docloom.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -220,6 +221,18 @@ def check_line_dedup(out, documents, words=50):
         else:
             assert out[i]["text"] == text
         removed += len(gone)
+    # Of each window of lines with 50 words, all places but the first have lost a line.
+    first_at = {}
+    for i, _ in documents:
+        lines = squeezed[i]
+        lost = {k for run in filter(None, out[i]["removed"].split(",")) for k in range(*map(int, run.split(":")))}
+        for lo in range(len(lines)):
+            hi, held = lo, 0
+            while hi < len(lines) and held < words:
+                held += len(lines[hi].split())
+                hi += 1
+            if held >= words:
+                assert first_at.setdefault(tuple(lines[lo:hi]), (i, lo)) == (i, lo) or lost & set(range(lo, hi))
     # Every line of 50 words and more stays once.
     seen, left = set(), 0
     for i, _ in documents:
@@ -266,3 +279,13 @@ def check_sharding(out, documents, level):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(s) == 1 for s in texts.values())
     assert set(loads) == set(range(16)) and max(loads.values()) <= level * sum(loads.values()) / 16
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in got.description]
+    assert sorted(map(str, got.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, SF).select(*names).collect())
