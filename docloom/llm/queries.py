@@ -61,9 +61,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_simhash, op4_embeddings, op5_toxicity, op6_packing, op7_pii, op8_line_dedup, op9_warc, op10_sharding)}
 
-# DuckDB can express none of them as a whole over whole tables at a bearable
-# cost, but for the groups of op10 and the records of op9.
+# SQL for those that DuckDB can express over whole tables; the tests compare
+# the others with brute force.
 ORACLE_SQL = {
+    "op4_embeddings": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ), p AS (
+            SELECT a.vec_id AS i, b.vec_id AS j FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reach AS (
+            SELECT vec_id AS i, vec_id AS r FROM e UNION SELECT reach.i, p.j FROM reach JOIN p ON reach.r = p.i
+        )
+        SELECT e.vec_id, (SELECT COUNT(*) FROM p WHERE p.i = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM e JOIN (SELECT i, MIN(r) AS component_id FROM reach GROUP BY i) AS c ON c.i = e.vec_id
+    """,
     "op9_warc": """
         WITH p AS (
             SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

@@ -32,7 +32,7 @@ BEGINNINGS = (4, 5)
 #: A feature is used if this many labelled texts have it.
 LEAST_DOCS = 3
 #: Features of a category: those whose presence tells most about it.
-FEATURES = 3000
+FEATURES = 1500
 FOLDS = 5
 CLIP = 8.0
 
@@ -118,7 +118,7 @@ def telling(sample: Sample, used: np.ndarray, y: np.ndarray) -> np.ndarray:
     return frequent[np.array(best, dtype=np.int64)]
 
 
-def fitted(sample: Sample, numbers: np.ndarray, y: np.ndarray, used: np.ndarray, penalty: float = 0.3, steps: int = 200) -> tuple[Linear, np.ndarray]:
+def fitted(sample: Sample, numbers: np.ndarray, y: np.ndarray, used: np.ndarray, penalty: float = 0.3, steps: int = 120) -> tuple[Linear, np.ndarray]:
     """Logistic regression over the texts ``used`` with an L2 penalty, by accelerated gradient steps; and the log-odds of all texts."""
     chosen = telling(sample, used, y)
     d, m, n = len(chosen), numbers.shape[1], sample.n
