@@ -38,6 +38,8 @@ NUMBERS = {"content_length": "content-length", "payload_length": "warc-payload-l
 SCHEMA = ", ".join([*(f"{c} string" for c in HEADERS), *(f"{c} bigint" for c in NUMBERS), "payload binary"])
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BATCH_BYTES = 8 << 20
+#: Records of a file at most, as a file is what one task reads.
+FILE_RECORDS = 20_000
 
 
 class File(InputPartition):
@@ -199,7 +201,7 @@ def write_warc(pages: DataFrame, path: str, payload: str = "html", page_id: str
         F.lit("\r\n\r\n" + HTTP),
     )
     record = F.concat(head, F.when(again, "").otherwise(body))
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def archived(pages: DataFrame, payload: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
