@@ -82,6 +82,9 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){11,}+", "", luhn, 0.8, "card|visa|master|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda m: F.length(digits(m)).between(9, 15), 0.7, "call|phone|tel|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "", mod97, 0.9, "iban|account|bank|transfer", base=False),
+    # A base match swallows digits that follow after one separator, and fails with them: numbers written in their usual groups are proposed by themselves.
+    Kind("card", r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{4}(?![0-9])", "", luhn, 0.8, "card|visa|master|credit|pay", base=False),
+    Kind("phone", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", "+", lambda m: F.length(digits(m)).between(9, 15), 0.7, "call|phone|tel|mobile|fax", base=False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", None, 0.4, "ssn|social|security|insured", base=False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -114,15 +117,27 @@ def spans_of(text: Column, order: int, kind: Kind) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with column ``into``: all spans, by start and then by kind.
 
+    Added spans that overlap a base span of their kind, or a card an IBAN, are
+    the same thing seen twice and are left out.
+
     A span has s and e (code points, end exclusive), k and kind, m (its text)
     and score.  Spans of different kinds may overlap.  Null and empty texts
     have none; rows stay as they are otherwise, a column called ``into`` is
     replaced.
     """
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    each = docs.select(*(c for c in docs.columns if c != into), F.struct(*(spans_of(source, i, k).alias(k.name) for i, k in enumerate(KINDS))).alias("__found"))
-    every = F.array_sort(F.concat(*(F.col("__found")[k.name] for k in KINDS)))
-    return each.withColumn(into, every).drop("__found")
+    each = docs.select(*(c for c in docs.columns if c != into), F.struct(*(spans_of(source, i, k).alias(f"k{i}") for i, k in enumerate(KINDS))).alias("__found"))
+    found = [F.col("__found")[f"k{i}"] for i in range(len(KINDS))]
+
+    def alone(own: Column, others: list[Column]) -> Column:
+        return F.filter(own, lambda x: ~F.exists(F.concat(*others), lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))) if others else own
+
+    added = []
+    for i, kind in enumerate(KINDS):
+        if not kind.base:
+            same = [found[j] for j, other in enumerate(KINDS) if other.base and other.name == kind.name or kind.name == "card" and other.name == "iban"]
+            added.append(alone(found[i], same))
+    return each.withColumn(into, F.array_sort(F.concat(*found[: len(BASE)], *added))).drop("__found")
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -149,10 +164,10 @@ def listed(spans: Column) -> Column:
 
 
 def span_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_<kind> of the base kinds, base_sha256, spans, scores) of every document."""
+    """(doc_id, n_<kind> of base spans, base_sha256, spans, scores) of every document."""
     rows = with_spans(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "pii").drop("text")
     base = F.filter("pii", lambda x: x["k"] < len(BASE))
-    of_kind = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k))
+    of_kind = lambda k: F.size(F.filter("pii", lambda x: x["k"] == BASE.index(k)))
     counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in BASE]
     scores = F.array_join(F.transform("pii", lambda x: F.format_number(x["score"], 2)), ",")
     return rows.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), scores.alias("scores"))
