@@ -15,7 +15,7 @@ CHUNK = 4096
 
 
 def dealt_cells(rows: DataFrame, cell: str, member: str, chunk: int = CHUNK) -> DataFrame:
-    """``rows`` with (i, j, side), sorted by (cell, i, j) within partitions.
+    """``rows`` with (i, j, side), sorted by (cell, i, j, side, member) within partitions.
 
     Within a group (cell, i, j), rows of side 0 are compared with those of
     side 1, or with each other where i = j.  Every two rows of a cell meet in
@@ -27,4 +27,4 @@ def dealt_cells(rows: DataFrame, cell: str, member: str, chunk: int = CHUNK) ->
     dealt = rows.join(sizes, cell).withColumn("chunks", many).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return dealt.repartition(cell, "i", "j").sortWithinPartitions(cell, "i", "j", "side")
+    return dealt.repartition(cell, "i", "j").sortWithinPartitions(cell, "i", "j", "side", member)
