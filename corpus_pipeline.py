@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import linededup, packing, pii, simhash, toxicity
 from docloom.llm.common import shared_dir, table
+from docloom.session import ship
 
 
 def _like(docs: DataFrame, of: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def _like(docs: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of being toxic is below one half, by a chain fitted on ``labels``."""
+    """Documents whose chance of being toxic is below ``toxicity.THRESHOLD``, by a chain fitted on ``labels``."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
     return toxicity.scored(docs, chain, prefix="__p_").where(F.col("__p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
 
@@ -65,6 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again in the shared folder."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):

@@ -15,15 +15,17 @@ Manhattan bound screens pairs and the Hamming distance decides.  Only equal
 fingerprints are merged before, and no link is lost.
 
 A similarity such as 0.8 lies far beyond four bits.  For it,
-:func:`similar_groups` takes fingerprints of 256 bits, of which it reads the
-cosine of two texts' shingle counts, and cells keyed by sampled bits, in as
-many tables as the recall wanted needs.  There the fingerprints only propose:
-each cell gives the minimum spanning forest of its near pairs, and whether the
-texts of a proposed pair share enough of their shingles is decided exactly.
+:func:`similar_groups` takes fingerprints of 256 bits over the distinct
+shingles, of which it reads the cosine of two texts' sets, and cells keyed by
+sampled bits, in as many tables as the recall wanted needs.  There the
+fingerprints only propose: each cell gives a few spanning forests of its near
+pairs, and whether the texts of a proposed pair share enough of their shingles
+is decided exactly.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -43,34 +45,39 @@ RADIUS = 4
 GROUPS = 16
 #: Rows of a group above which it is compared in blocks.
 BLOCK = 256
+#: Rows of a group up to which all its near pairs are held at once.
+HELD = 512
 
 
-def simhash(text: str, words: int = 4, lanes: int = 1) -> int:
-    """The fingerprint of ``text``, of 64 bits for each lane; 0 where it has no word.
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each shingle of ``text``, repeats included; none where it has no word.
 
     ASCII capitals are lowered; words are what lies between ASCII white space;
-    shingles count as often as they occur, and a text of fewer words has one.
-    The first lane's bits come from the shingles' hashes, those of further
-    lanes from mixes of them.
+    a text of fewer words has one shingle.
     """
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
-    ends, at = [], -1
-    for t in tokens:
-        at += len(t) + 1
-        ends.append(at)
     if len(tokens) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        starts = [0, *[e + 1 for e in ends]]
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: 1 - words or None].tolist(), ends[words - 1 :].tolist())
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(tokens) - words + 1)
+
+
+def majority(hashes: np.ndarray, lanes: int = 1) -> int:
+    """For each bit, whether it is set in over half the hashes; 0 for no hashes.
+
+    The first lane's 64 bits come from the hashes, those of further lanes from
+    mixes of them.
+    """
     counts = np.zeros(64 * lanes, dtype=np.int64)
     salts = np.arange(lanes, dtype=np.uint64)
     for k in range(0, len(hashes), 4096):
-        part = np.array(hashes[k : k + 4096], dtype=np.uint64)
+        part = hashes[k : k + 4096]
         if lanes > 1:
             part = np.where(salts > 0, mixed(part[:, None], salts), part[:, None])
         bits = part.astype(">u8").view(np.uint8).reshape(-1, 8 * lanes)
@@ -78,7 +85,16 @@ def simhash(text: str, words: int = 4, lanes: int = 1) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def simhashes(docs: DataFrame, words: int = 4, lanes: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def simhash(text: str, words: int = 4, lanes: int = 1, distinct: bool = False) -> int:
+    """The fingerprint of ``text``, of 64 bits for each lane; 0 where it has no word.
+
+    Shingles count as often as they occur, or with ``distinct`` once.
+    """
+    hashes = shingle_hashes(text, words)
+    return majority(np.unique(hashes) if distinct else hashes, lanes)
+
+
+def simhashes(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp) of every document; null texts count as empty.
 
     With one lane ``fp`` is a bigint with the fingerprint's bits, with more it
@@ -88,7 +104,7 @@ def simhashes(docs: DataFrame, words: int = 4, lanes: int = 1, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps = [simhash(x or "", words, lanes) for x in batch.column("text").to_pylist()]
+            fps = [simhash(x or "", words, lanes, distinct) for x in batch.column("text").to_pylist()]
             column = pa.array(np.array(fps, dtype=np.uint64).view(np.int64)) if lanes == 1 else pa.array([x.to_bytes(8 * lanes, "big") for x in fps], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "fp"])
 
@@ -158,6 +174,26 @@ def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, len(masks)).view(np.int64))], ["cell", "fp"])
 
 
+def sampled_tables(bits: int, size: int, differ: float, missed: float) -> int:
+    """Tables of cells keyed by ``bits`` of ``size`` bits in which a pair shares no cell with probability ``missed`` at most.
+
+    Each bit of the pair differs with probability ``differ``: so the number of
+    those that do is binomial, and the pairs with many of them need the most
+    tables.
+    """
+    n = range(size + 1)
+    chance = np.array([math.comb(size, k) * differ**k * (1 - differ) ** (size - k) for k in n])
+    shared = np.array([math.comb(size - k, bits) / math.comb(size, bits) for k in n])
+
+    def enough(tables: int) -> bool:
+        return float(chance @ (1 - shared) ** tables) <= missed
+
+    high = 1
+    while not enough(high):
+        high *= 2
+    return bisect.bisect_left(range(high), True, lo=high // 2, key=enough)
+
+
 def in_sampled_cells(bits: int, tables: int, lanes: int, seed: int = 11):
     """Cells keyed by ``bits`` bits, drawn anew for each of ``tables`` tables."""
     rng = np.random.default_rng(seed)
@@ -240,25 +276,34 @@ def hooked(label: Forest, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label.add(a[left[first]], b[left[first]])
 
 
-def nearest_forest(radius: int):
-    """For rows sorted into groups, the pairs of each group's minimum spanning forest within the radius."""
+def nearest_forests(radius: int, forests: int = 1):
+    """For rows sorted into groups, pairs of each group within the radius: a minimum spanning forest, then one of the pairs left, and so on."""
 
     def distances(fps: np.ndarray, a, b) -> np.ndarray:
         return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=-1, dtype=np.int64)
 
-    def spanning(fps: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
-        """Prim's algorithm over one large group: as much memory as it has rows."""
-        rest = np.arange(start + 1, end)
-        best, near = distances(fps, rest, start), np.full(len(rest), start)
+    def spanning(fps: np.ndarray, start: int, end: int, taken: dict[int, list[int]]) -> list[tuple[int, int]]:
+        """Prim's algorithm over one large group, without the pairs ``taken``: as much memory as it has rows."""
+        rest, place, pairs = np.arange(start + 1, end), np.arange(-1, end - start - 1), []
+        best, near, new = np.full(len(rest), radius + 1), np.full(len(rest), start), start
         while len(rest):
-            k = int(best.argmin())
-            new = int(rest[k])
-            if best[k] <= radius:
-                yield int(near[k]), new
-            rest, best, near = np.delete(rest, k), np.delete(best, k), np.delete(near, k)
             now = distances(fps, rest, new)
+            for old in taken.get(new, ()):
+                at = place[old - start]
+                if at >= 0:
+                    now[at] = radius + 1
             closer = now < best
             best[closer], near[closer] = now[closer], new
+            k = int(best.argmin())
+            new = int(rest[k])
+            if best[k] <= radius:
+                pairs.append((int(near[k]), new))
+            # The last row takes the place of the one that leaves.
+            place[rest[-1] - start], place[new - start] = k, -1
+            for x in (rest, best, near):
+                x[k] = x[-1]
+            rest, best, near = rest[:-1], best[:-1], near[:-1]
+        return pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["cell", "i", "j"]):
@@ -267,7 +312,7 @@ def nearest_forest(radius: int):
             coded = unary(segment_counts(fps))
             starts = group_starts(rows, ["cell", "i", "j"])
             ends = np.append(starts[1:], len(fps))
-            small = ends - starts <= BLOCK
+            small = ends - starts <= HELD
             end_of = np.repeat(np.where(small, ends, 0), ends - starts)
             at = np.flatnonzero(end_of > np.arange(len(fps)) + 1)
             pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -280,37 +325,34 @@ def nearest_forest(radius: int):
                 step += 1
                 at = at[at + step < end_of[at]]
             a, b, d = (np.concatenate(x) if pairs else np.zeros(0, dtype=np.int64) for x in (list(zip(*pairs)) or [[], [], []]))
-            # Kruskal's algorithm, one distance at a time.
-            trees, kept = Forest(len(fps)), []
-            for level in np.unique(d):
-                same = np.flatnonzero(d == level)
-                kept.append(same[hooked(trees, a[same], b[same])])
-            chosen = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
-            left, right = a[chosen].tolist(), b[chosen].tolist()
+            left, right = [], []
+            for _ in range(forests):
+                # Kruskal's algorithm, one distance at a time.
+                trees, free = Forest(len(fps)), np.ones(len(a), dtype=bool)
+                for level in np.unique(d):
+                    same = np.flatnonzero(d == level)
+                    free[same[hooked(trees, a[same], b[same])]] = False
+                left += a[~free].tolist()
+                right += b[~free].tolist()
+                a, b, d = a[free], b[free], d[free]
             for start, end in zip(starts[~small].tolist(), ends[~small].tolist()):
-                for x, y in spanning(fps, start, end):
-                    left.append(x)
-                    right.append(y)
+                taken: dict[int, list[int]] = {}
+                for _ in range(forests):
+                    for x, y in spanning(fps, start, end, taken):
+                        left.append(x)
+                        right.append(y)
+                        taken.setdefault(x, []).append(y)
+                        taken.setdefault(y, []).append(x)
             kinds = pa.int64()
             yield pa.RecordBatch.from_arrays([column.take(pa.array(left, kinds)), column.take(pa.array(right, kinds))], ["a", "b"])
 
     return run
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """Hashes of the distinct shingles of ``text``, sorted; words as for :func:`simhash`."""
-    tokens = text.encode().lower().split()
-    if len(tokens) <= words:
-        shingles = [b" ".join(tokens)]
-    else:
-        shingles = [b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
-
-
 def shingle_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            sets = [shingle_set(x or "", words).tobytes() for x in batch.column("text").to_pylist()]
+            sets = [np.unique(shingle_hashes(x or "", words)).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array(sets, pa.binary())], ["first", "shingles"])
 
     return run
@@ -359,20 +401,22 @@ def simhash_groups(docs: DataFrame, words: int = 4, text: str = "text", doc_id:
     the smallest unless its component has no other.  Repeated rows stay
     repeated; an empty table gives no rows; other columns are not read.
     """
-    return grouped(cut(simhashes(docs, words, 1, text, doc_id)), linked)
+    return grouped(cut(simhashes(docs, words, text=text, doc_id=doc_id)), linked)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 5e-3, bucket: int = 64, lanes: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 1e-3, forests: int = 6, bucket: int = 128, lanes: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) of every document, by the part of their shingles that texts share.
 
     Documents are linked where their sets of shingles have a Jaccard
     similarity of ``similarity`` or more, and where their fingerprints are
-    equal.  Such texts have a cosine of 2 s / (1 + s), by which the bits of
-    their fingerprints differ; pairs are proposed up to three standard
-    deviations more, and the tables overlook a pair at the threshold with
-    probability ``missed`` at most.  The number of bits of a cell follows the
-    number of fingerprints, so that cells keep their size.  Nulls, ids and
-    repeated rows as in :func:`simhash_groups`.
+    equal.  Fingerprints count each shingle once: then such texts have a cosine
+    of 2 s / (1 + s) at least, by which the bits of their fingerprints differ.
+    Pairs are proposed up to three standard deviations more, and the tables
+    overlook a pair at the threshold with probability ``missed`` at most.  Each
+    cell proposes ``forests`` spanning forests without a pair in common, so
+    that a pair whose texts share too little does not hide others.  The number
+    of bits of a cell follows the number of fingerprints, so that cells keep
+    their size.  Nulls, ids and repeated rows as in :func:`simhash_groups`.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(64 * lanes * differ + 3 * math.sqrt(64 * lanes * differ * (1 - differ)))
@@ -381,9 +425,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mis
     def pairs_of(least: DataFrame) -> DataFrame:
         n = least.count()
         bits = max(6, math.ceil(math.log2(max(n, 1) / bucket)))
-        tables = math.ceil(math.log(missed) / math.log1p(-((1 - differ) ** bits)))
+        tables = sampled_tables(bits, 64 * lanes, differ, missed)
         cells = least.select("fp").mapInArrow(in_sampled_cells(bits, tables, lanes), "cell bigint, fp binary")
-        proposed = dealt_cells(cells, "cell", "fp").mapInArrow(nearest_forest(radius), "a binary, b binary")
+        proposed = dealt_cells(cells, "cell", "fp").mapInArrow(nearest_forests(radius, forests), "a binary, b binary")
         proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         # One document stands for each fingerprint that has a proposal.
         ends = cut(proposed.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(least, "fp"))
@@ -393,4 +437,4 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mis
         both = proposed.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
         return both.select("a", "b", "s", "t").mapInArrow(confirmed(similarity), "a binary, b binary")
 
-    return grouped(cut(simhashes(docs, words, lanes, text, doc_id)), pairs_of)
+    return grouped(cut(simhashes(docs, words, lanes, True, text, doc_id)), pairs_of)
