@@ -205,13 +205,12 @@ def in_sampled_cells(bits: int, tables: int, lanes: int, seed: int = 11):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                column = whole.column("fp").slice(at, 1024)
-                fps = lanes_of(column)
+                fps = lanes_of(whole.column("fp").slice(at, 1024))
                 keys = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), (len(fps), tables))
                 for lane in range(lanes):
                     keys = mixed(fps[:, lane, None] & masks[None, :, lane], keys)
-                again = column.take(pa.array(np.repeat(np.arange(len(fps)), tables)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), again], ["cell", "fp"])
+                again = whole.slice(at, 1024).take(pa.array(np.repeat(np.arange(len(fps)), tables)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *again.columns], ["cell", *again.schema.names])
 
     return run
 
@@ -277,17 +276,22 @@ def hooked(label: Forest, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_forests(radius: int, forests: int = 1):
-    """For rows sorted into groups, pairs of each group within the radius: a minimum spanning forest, then one of the pairs left, and so on."""
+    """For rows sorted into groups, pairs of each group within the radius: a minimum spanning forest, then one of the pairs left, and so on.
+
+    Rows may have a root; then rows of one root count as joined already.
+    """
 
     def distances(fps: np.ndarray, a, b) -> np.ndarray:
         return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=-1, dtype=np.int64)
 
-    def spanning(fps: np.ndarray, start: int, end: int, taken: dict[int, list[int]]) -> list[tuple[int, int]]:
+    def spanning(fps: np.ndarray, roots: np.ndarray | None, start: int, end: int, taken: dict[int, list[int]]) -> list[tuple[int, int]]:
         """Prim's algorithm over one large group, without the pairs ``taken``: as much memory as it has rows."""
         rest, place, pairs = np.arange(start + 1, end), np.arange(-1, end - start - 1), []
         best, near, new = np.full(len(rest), radius + 1), np.full(len(rest), start), start
         while len(rest):
             now = distances(fps, rest, new)
+            if roots is not None:
+                now[roots[rest] == roots[new]] = -1
             for old in taken.get(new, ()):
                 at = place[old - start]
                 if at >= 0:
@@ -296,7 +300,7 @@ def nearest_forests(radius: int, forests: int = 1):
             best[closer], near[closer] = now[closer], new
             k = int(best.argmin())
             new = int(rest[k])
-            if best[k] <= radius:
+            if 0 <= best[k] <= radius:
                 pairs.append((int(near[k]), new))
             # The last row takes the place of the one that leaves.
             place[rest[-1] - start], place[new - start] = k, -1
@@ -309,6 +313,7 @@ def nearest_forests(radius: int, forests: int = 1):
         for rows in whole_groups(batches, ["cell", "i", "j"]):
             column = rows.column("fp").combine_chunks()
             fps = lanes_of(column)
+            roots = rows.column("root").to_numpy() if "root" in rows.column_names else None
             coded = unary(segment_counts(fps))
             starts = group_starts(rows, ["cell", "i", "j"])
             ends = np.append(starts[1:], len(fps))
@@ -326,9 +331,18 @@ def nearest_forests(radius: int, forests: int = 1):
                 at = at[at + step < end_of[at]]
             a, b, d = (np.concatenate(x) if pairs else np.zeros(0, dtype=np.int64) for x in (list(zip(*pairs)) or [[], [], []]))
             left, right = [], []
+            joined = np.zeros((2, 0), dtype=np.int64)
+            if roots is not None:
+                group = np.repeat(np.arange(len(starts)), ends - starts)
+                order = np.lexsort((roots, group))
+                alike = np.flatnonzero((group[order][1:] == group[order][:-1]) & (roots[order][1:] == roots[order][:-1]))
+                joined = np.stack([order[alike], order[alike + 1]])
+                differ = roots[a] != roots[b]
+                a, b, d = a[differ], b[differ], d[differ]
             for _ in range(forests):
                 # Kruskal's algorithm, one distance at a time.
                 trees, free = Forest(len(fps)), np.ones(len(a), dtype=bool)
+                trees.add(*joined)
                 for level in np.unique(d):
                     same = np.flatnonzero(d == level)
                     free[same[hooked(trees, a[same], b[same])]] = False
@@ -336,9 +350,14 @@ def nearest_forests(radius: int, forests: int = 1):
                 right += b[~free].tolist()
                 a, b, d = a[free], b[free], d[free]
             for start, end in zip(starts[~small].tolist(), ends[~small].tolist()):
+                if roots is not None and (roots[start:end] == roots[start]).all():
+                    continue
                 taken: dict[int, list[int]] = {}
                 for _ in range(forests):
-                    for x, y in spanning(fps, start, end, taken):
+                    pairs_of_tree = spanning(fps, roots, start, end, taken)
+                    if not pairs_of_tree:
+                        break
+                    for x, y in pairs_of_tree:
                         left.append(x)
                         right.append(y)
                         taken.setdefault(x, []).append(y)
@@ -358,8 +377,8 @@ def shingle_sets(words: int):
     return run
 
 
-def confirmed(similarity: float):
-    """Pairs whose sets share at least ``similarity`` of their union."""
+def decided(similarity: float):
+    """Pairs, and whether their sets share at least ``similarity`` of their union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,7 +387,7 @@ def confirmed(similarity: float):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                 yes.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], ["a", "b", "alike"])
 
     return run
 
@@ -413,28 +432,44 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mis
     of 2 s / (1 + s) at least, by which the bits of their fingerprints differ.
     Pairs are proposed up to three standard deviations more, and the tables
     overlook a pair at the threshold with probability ``missed`` at most.  Each
-    cell proposes ``forests`` spanning forests without a pair in common, so
-    that a pair whose texts share too little does not hide others.  The number
-    of bits of a cell follows the number of fingerprints, so that cells keep
+    cell proposes the minimum spanning forest of its near pairs.  So that a
+    pair whose texts share too little does not hide others, components that
+    such a pair touches are compared again, where each cell proposes
+    ``forests`` forests between components, without a pair in common.  The
+    number of bits of a cell follows the number of fingerprints, so that cells keep
     their size.  Nulls, ids and repeated rows as in :func:`simhash_groups`.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(64 * lanes * differ + 3 * math.sqrt(64 * lanes * differ * (1 - differ)))
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def pairs_of(least: DataFrame) -> DataFrame:
-        n = least.count()
-        bits = max(6, math.ceil(math.log2(max(n, 1) / bucket)))
-        tables = sampled_tables(bits, 64 * lanes, differ, missed)
-        cells = least.select("fp").mapInArrow(in_sampled_cells(bits, tables, lanes), "cell bigint, fp binary")
-        proposed = dealt_cells(cells, "cell", "fp").mapInArrow(nearest_forests(radius, forests), "a binary, b binary")
-        proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    def judged(proposed: DataFrame, least: DataFrame) -> DataFrame:
         # One document stands for each fingerprint that has a proposal.
         ends = cut(proposed.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(least, "fp"))
         texts = docs.select(F.col(doc_id).alias("first"), F.col(text).cast("string").alias("text")).join(ends.select("first").distinct(), "first", "left_semi")
         sets = texts.mapInArrow(shingle_sets(words), f"first {kind}, shingles binary").dropDuplicates(["first"])
         sets = cut(ends.join(sets, "first").select("fp", "shingles"))
         both = proposed.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
-        return both.select("a", "b", "s", "t").mapInArrow(confirmed(similarity), "a binary, b binary")
+        return cut(both.select("a", "b", "s", "t").mapInArrow(decided(similarity), "a binary, b binary, alike boolean"))
+
+    def pairs_of(least: DataFrame) -> DataFrame:
+        n = least.count()
+        bits = max(6, math.ceil(math.log2(max(n, 1) / bucket)))
+        placed = in_sampled_cells(bits, sampled_tables(bits, 64 * lanes, differ, missed), lanes)
+
+        def proposals(cells: DataFrame, forests: int) -> DataFrame:
+            pairs = dealt_cells(cells, "cell", "fp").mapInArrow(nearest_forests(radius, forests), "a binary, b binary")
+            return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+        first = judged(cut(proposals(least.select("fp").mapInArrow(placed, "cell bigint, fp binary"), 1)), least)
+        links = first.where("alike").select("a", "b")
+        # Near pairs that the first forests leave apart have a rejected pair on
+        # their way, and lie in components that such a pair touches.
+        roots = connected_components(links).select(F.col("node").alias("fp"), "root")
+        named = cut(least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+        touched = first.where("not alike").select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(named, "fp").select("root").distinct()
+        rest = cut(named.join(touched, "root", "left_semi").select("fp", F.xxhash64("root").alias("root")))
+        more = proposals(rest.mapInArrow(placed, "cell bigint, fp binary, root bigint"), forests).join(first, ["a", "b"], "left_anti")
+        return links.unionByName(judged(cut(more), least).where("alike").select("a", "b"))
 
     return grouped(cut(simhashes(docs, words, lanes, True, text, doc_id)), pairs_of)
