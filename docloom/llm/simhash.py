@@ -18,9 +18,11 @@ A similarity such as 0.8 lies far beyond four bits.  For it,
 :func:`similar_groups` takes fingerprints of 256 bits over the distinct
 shingles, of which it reads the cosine of two texts' sets, and cells keyed by
 sampled bits, in as many tables as the recall wanted needs.  There the
-fingerprints only propose: each cell gives a few spanning forests of its near
-pairs, and whether the texts of a proposed pair share enough of their shingles
-is decided exactly.
+fingerprints only propose: each cell gives a spanning forest of its near pairs,
+and whether the texts of a proposed pair share enough of their shingles is
+decided exactly.  Where a proposal is refused, all pairs of the texts that
+proposals connect are decided, so that no pair is hidden by others.  Texts of so
+few shingles that bits tell less are joined by their shingles.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,10 @@ GROUPS = 16
 BLOCK = 256
 #: Rows of a group up to which all its near pairs are held at once.
 HELD = 512
+#: Rows of a chunk of sets, and bytes.
+SETS, SET_BYTES = 2048, 8 << 20
+#: Members of a set up to which sets are compared from the start.
+FEW = 24
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -359,7 +366,7 @@ def shingle_sets(words: int):
 
 
 def confirmed(similarity: float):
-    """Pairs whose sets share at least ``similarity`` of their union."""
+    """Pairs and whether their sets share at least ``similarity`` of their union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,11 +375,134 @@ def confirmed(similarity: float):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                 yes.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], ["a", "b", "yes"])
 
     return run
 
 
+def prefix(sizes, similarity: float):
+    """So many of a set's first members, in any one order, hold one of every set that is similar enough."""
+    return sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+
+
+def set_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets that connect whatever the pairs similar enough connect; with ``side``, pairs of two sides.
+
+    Pairs already connected are not compared, nor are those whose rarest
+    members have none in common; every other pair is decided exactly.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, slot, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    slot = slot[np.lexsort((slot, df[slot], owner))]
+    starts = np.cumsum(sizes) - sizes
+    inside = np.arange(len(slot)) - starts[owner]
+    kept = np.flatnonzero((inside < prefix(sizes, similarity)[owner]) & (df[slot] > 1))
+    kept = kept[np.argsort(slot[kept], kind="stable")]
+    posted, post_owner = slot[kept], owner[kept]
+    began = np.searchsorted(posted, posted)
+    # Of each row, where the postings of its first members begin, and its own among them.
+    by_row = np.argsort(post_owner, kind="stable")
+    row_at = np.searchsorted(post_owner[by_row], np.arange(len(sets) + 1))
+    label, mark, links = np.arange(len(sets)), np.zeros(len(df), dtype=bool), []
+
+    def runs(lows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.repeat(lows - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+    for k in range(len(sets)):
+        mine = by_row[row_at[k] : row_at[k + 1]]
+        counts = mine - began[mine]
+        if not counts.any():
+            continue
+        common = np.bincount(post_owner[runs(began[mine], counts)], minlength=k)
+        others = np.flatnonzero(common)
+        others = others[(label[others] != label[k]) & (np.minimum(sizes[others], sizes[k]) >= similarity * np.maximum(sizes[others], sizes[k]))]
+        if side is not None:
+            others = others[side[others] != side[k]]
+        others = others[np.argsort(-common[others], kind="stable")]
+        own = slot[starts[k] : starts[k] + sizes[k]]
+        mark[own] = True
+        # One row of each tree first, as it may spare the others.
+        ahead = np.sort(np.unique(label[others], return_index=True)[1])
+        for tried in (others[ahead], np.delete(others, ahead)):
+            tried = tried[label[tried] != label[k]]
+            if not len(tried):
+                continue
+            shared = np.add.reduceat(mark[slot[runs(starts[tried], sizes[tried])]], np.cumsum(sizes[tried]) - sizes[tried], dtype=np.int64)
+            for other in tried[shared >= similarity * (sizes[tried] + sizes[k] - shared)].tolist():
+                if label[other] != label[k]:
+                    links.append((other, k))
+                    label[label == label[other]] = label[k]
+        mark[own] = False
+    return links
+
+
+def linked_sets(similarity: float):
+    """For sets sorted into groups, the pairs of :func:`set_links` of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["cell", "i", "j"]):
+            column, shingles = rows.column("fp").combine_chunks(), rows.column("shingles")
+            i, j, side = (rows.column(c).to_numpy() for c in ("i", "j", "side"))
+            starts = group_starts(rows, ["cell", "i", "j"])
+            left, right = [], []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in shingles.slice(start, end - start).to_pylist()]
+                for x, y in set_links(sets, None if i[start] == j[start] else side[start:end], similarity):
+                    left.append(start + x)
+                    right.append(start + y)
+            kinds = pa.int64()
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(left, kinds)), column.take(pa.array(right, kinds))], ["a", "b"])
+
+    return run
+
+
+def differing(x: int, y: int, shared: int) -> float:
+    """The probability that a bit of the fingerprints of two sets differs, for sets of ``x`` and ``y`` members of which they share some."""
+    of = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+    both, a, b = np.arange(shared + 1)[:, None], np.arange(x - shared + 1), np.arange(y - shared + 1)
+    one, other = (2 * (both + a) > x) @ of(x - shared), (2 * (both + b) > y) @ of(y - shared)
+    return float(of(shared) @ (one * (1 - other) + other * (1 - one)))
+
+
+@lru_cache(maxsize=8)
+def most_differing(similarity: float, above: int = FEW) -> float:
+    """The largest probability that a bit of a similar enough pair differs, where a set has more than ``above`` members.
+
+    It falls with the size of the sets towards what their cosine tells.
+    """
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for y in range(above + 1, 3 * above):
+        for x in range(math.ceil(similarity * y - 1e-9), y + 1):
+            least = math.ceil(similarity * (x + y) / (1 + similarity) - 1e-9)
+            most = max([most, *(differing(x, y, k) for k in range(least, x + 1))])
+    return most
+
+
+def small_sets(words: int, lanes: int, similarity: float, most: int = FEW):
+    """(cell, fp, shingles) of texts of at most ``most`` shingles: a cell for each of the set's first members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            cells, fps, sets = [], [], []
+            for text in batch.column("text").to_pylist():
+                # Texts of many words may have few shingles, as these may repeat.
+                found = np.unique(shingle_hashes(text or "", words)) if few_enough(text or "", words, most) else ()
+                if 0 < len(found) <= most:
+                    for x in found[: int(prefix(np.int64(len(found)), similarity))].view(np.int64).tolist():
+                        cells.append(x)
+                        fps.append(majority(found, lanes).to_bytes(8 * lanes, "big"))
+                        sets.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["cell", "fp", "shingles"])
+
+    return run
+
+
+def few_enough(text: str, words: int, most: int) -> bool:
+    """Whether a text may have ``most`` distinct shingles or fewer, by its distinct words: a shingle holds ``words`` at most."""
+    return len(set(text.encode().lower().split())) <= most + words - 1
+
+
 def linked(fps: DataFrame) -> DataFrame:
     """Pairs (a, b) of fingerprints whose graph has the components of all links within four bits.
 
@@ -404,30 +534,38 @@ def simhash_groups(docs: DataFrame, words: int = 4, text: str = "text", doc_id:
     return grouped(cut(simhashes(docs, words, text=text, doc_id=doc_id)), linked)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 1e-3, forests: int = 6, bucket: int = 128, lanes: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 1e-3, bucket: int = 128, lanes: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) of every document, by the part of their shingles that texts share.
 
     Documents are linked where their sets of shingles have a Jaccard
     similarity of ``similarity`` or more, and where their fingerprints are
     equal.  Fingerprints count each shingle once: then such texts have a cosine
-    of 2 s / (1 + s) at least, by which the bits of their fingerprints differ.
-    Pairs are proposed up to three standard deviations more, and the tables
-    overlook a pair at the threshold with probability ``missed`` at most.  Each
-    cell proposes ``forests`` spanning forests without a pair in common, so
-    that a pair whose texts share too little does not hide others.  The number
-    of bits of a cell follows the number of fingerprints, so that cells keep
+    of 2 s / (1 + s) at least, by which the bits of their fingerprints differ
+    (somewhat more often where sets are small, which is counted out).  The
+    radius leaves out a pair at the threshold with probability ``missed`` at
+    most, and so do the tables.  Each
+    cell proposes a spanning forest.  Where a proposal's texts share too
+    little, all pairs among the texts that proposals connect are decided by
+    their sets.  Texts of at most ``FEW`` shingles, whose bits differ still more
+    often, are compared by their sets from the start.  The number of
+    bits of a cell follows the number of fingerprints, so that cells keep
     their size.  Nulls, ids and repeated rows as in :func:`simhash_groups`.
     """
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.ceil(64 * lanes * differ + 3 * math.sqrt(64 * lanes * differ * (1 - differ)))
+    differ, size = most_differing(similarity), 64 * lanes
+    chance = np.array([math.comb(size, k) * differ**k * (1 - differ) ** (size - k) for k in range(size + 1)])
+    radius = int(np.argmax(1 - np.cumsum(chance) <= missed))
     kind = docs.schema[doc_id].dataType.simpleString()
 
+    def by_sets(rows: DataFrame) -> DataFrame:
+        groups = dealt_cells(rows, "cell", "fp", SETS, F.octet_length("shingles"), SET_BYTES)
+        return groups.mapInArrow(linked_sets(similarity), "a binary, b binary")
+
     def pairs_of(least: DataFrame) -> DataFrame:
         n = least.count()
         bits = max(6, math.ceil(math.log2(max(n, 1) / bucket)))
         tables = sampled_tables(bits, 64 * lanes, differ, missed)
         cells = least.select("fp").mapInArrow(in_sampled_cells(bits, tables, lanes), "cell bigint, fp binary")
-        proposed = dealt_cells(cells, "cell", "fp").mapInArrow(nearest_forests(radius, forests), "a binary, b binary")
+        proposed = dealt_cells(cells, "cell", "fp").mapInArrow(nearest_forests(radius), "a binary, b binary")
         proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         # One document stands for each fingerprint that has a proposal.
         ends = cut(proposed.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(least, "fp"))
@@ -435,6 +573,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mis
         sets = texts.mapInArrow(shingle_sets(words), f"first {kind}, shingles binary").dropDuplicates(["first"])
         sets = cut(ends.join(sets, "first").select("fp", "shingles"))
         both = proposed.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
-        return both.select("a", "b", "s", "t").mapInArrow(confirmed(similarity), "a binary, b binary")
+        decided = cut(both.select("a", "b", "s", "t").mapInArrow(confirmed(similarity), "a binary, b binary, yes boolean"))
+        # Of what proposals connect, that with a refused pair and some pair not yet decided.
+        roots = cut(connected_components(decided))
+        counts = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        refused = decided.join(roots, F.col("a") == F.col("node")).groupBy("root").agg(F.bool_or(~F.col("yes")).alias("no"), F.count(F.lit(1)).alias("n_pairs"))
+        mixed_roots = refused.join(counts, "root").where("no and 2 * n_pairs < n * (n - 1)").select("root")
+        mixed_rows = roots.join(mixed_roots, "root").join(sets, F.col("node") == F.col("fp"))
+        hidden = by_sets(mixed_rows.select(F.col("root").alias("cell"), "fp", "shingles"))
+        bodies = docs.select(F.col(text).cast("string").alias("text"))
+        small = by_sets(bodies.mapInArrow(small_sets(words, lanes, similarity), "cell bigint, fp binary, shingles binary").distinct())
+        return decided.where("yes").select("a", "b").unionByName(cut(hidden)).unionByName(cut(small))
 
     return grouped(cut(simhashes(docs, words, lanes, True, text, doc_id)), pairs_of)

@@ -145,6 +145,57 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(df.limit(0)).count() == 0
 
 
+def test_similar_groups_in_a_template(spark):
+    """Pairs among many texts of one template, whose fingerprints are as near but which share too little."""
+    rng = random.Random(12)
+    template = [f"w{rng.random():.6f}" for _ in range(400)]
+
+    def changed(base, places):
+        return [f"x{rng.random():.6f}" if k in places else x for k, x in enumerate(base)]
+
+    texts = []
+    for k in range(500):
+        places = rng.sample(range(5, 395), 6)
+        if k % 5:
+            texts.append(" ".join(changed(template, places)))
+        else:
+            base = changed(template, places[:2])
+            texts += [" ".join(changed(base, rng.sample(range(5, 395), 4))) for _ in range(2)]
+    shingles = [{hash(tuple(t[i : i + 5])) for i in range(len(t) - 4)} for t in map(str.split, texts)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if 9 * len(shingles[a] & shingles[b]) >= 4 * (len(shingles[a]) + len(shingles[b]))]
+    roots = components(len(texts), pairs)
+    assert len(pairs) > 80 and len(set(roots)) > 100
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == dict(enumerate(roots))
+
+
+def test_similar_groups_of_few_shingles(spark):
+    """Sets of 4 and 5 shingles, whose bits differ more often than their cosine tells."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(400):
+        words = [f"{rng.random():.9f}" for _ in range(9)]
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {k: k - k % 2 for k, _ in rows}
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_set_links(sides):
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 40, (3, 50)).astype(np.uint64)
+    sets = []
+    for k in range(80):
+        x = base[k % 3][: rng.integers(20, 50)].copy()
+        new = rng.random(len(x)) < rng.choice([0.02, 0.1, 0.2])
+        x[new] = rng.integers(0, 1 << 40, new.sum())
+        sets.append(np.unique(x))
+    side = rng.integers(0, 2, 80) if sides else None
+    near = [(a, b) for a in range(80) for b in range(a) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b])) and (not sides or side[a] != side[b])]
+    links = simhash.set_links(sets, side, 0.8)
+    assert components(80, near) == components(80, links) and {(max(x), min(x)) for x in links} <= set(near)
+
+
 def test_similar_groups_count_shingles_once(spark):
     """A passage repeated over most of two texts makes them alike only as far as their sets of shingles are."""
     rng = random.Random(8)
