@@ -99,6 +99,7 @@ def packed_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int
         seed = carried if carried >= 0 else next(int(k) for k in in_order if unused[k])
         unused[seed], carried = False, -1
         near = [int(k) for k in index.nearest(seed, unused)]
+        more = len(near) == NEIGHBOURS
         chosen = seed
         while chosen >= 0:
             take = min(room, int(rest[chosen] - done[chosen]))
@@ -113,6 +114,9 @@ def packed_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int
                 carried = chosen if done[chosen] < rest[chosen] else -1
                 break
             near = [k for k in near if unused[k]]
+            if not near and more:
+                near = [int(k) for k in index.nearest(seed, unused)]
+                more = len(near) == NEIGHBOURS
             fits = [k for k in near if rest[k] <= room]
             chosen = fits[0] if fits else near[0] if near else -1
     # The last window, cut at powers of two.

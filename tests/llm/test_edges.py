@@ -330,6 +330,19 @@ def test_packing_retrieves():
     assert np.mean([len(x) == 1 for x in sequences.values()]) > 0.7
 
 
+def test_packing_asks_again():
+    """A window of more short documents than the index returns at once stays with the seed's topic."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1000 * (k % 4), 1000 * (k % 4) + 60, 20 + k % 3).astype(np.uint32) for k in range(400)]
+    topics, lengths = {}, {}
+    for k, _, length, sequence, _ in packing.packed_shard(docs, 1024):
+        topics.setdefault(sequence, set()).add(k % 4)
+        lengths[sequence] = lengths.get(sequence, 0) + length
+    assert sum(lengths.values()) == sum(len(d) for d in docs)
+    full = [s for s, n in lengths.items() if n == 1024]
+    assert len(full) == 8 and sum(len(topics[s]) == 1 for s in full) >= 4
+
+
 def test_pii(docs, plain):
     out = rows_of(pii.span_digests(docs), "doc_id")
     assert check_pii(out, plain) > 5
