@@ -202,7 +202,7 @@ def sampled_tables(bits: int, size: int, differ: float, missed: float) -> int:
 
 
 def in_sampled_cells(bits: int, tables: int, lanes: int, seed: int = 11):
-    """Cells keyed by ``bits`` bits, drawn anew for each of ``tables`` tables."""
+    """(cell, fp, node): cells keyed by ``bits`` bits, drawn anew for each of ``tables`` tables."""
     rng = np.random.default_rng(seed)
     masks = np.zeros((tables, lanes), dtype=np.uint64)
     for t in range(tables):
@@ -217,8 +217,9 @@ def in_sampled_cells(bits: int, tables: int, lanes: int, seed: int = 11):
                 keys = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), (len(fps), tables))
                 for lane in range(lanes):
                     keys = mixed(fps[:, lane, None] & masks[None, :, lane], keys)
-                again = column.take(pa.array(np.repeat(np.arange(len(fps)), tables)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), again], ["cell", "fp"])
+                again = pa.array(np.repeat(np.arange(len(fps)), tables))
+                nodes = whole.column("node").slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), column.take(again), nodes.take(again)], ["cell", "fp", "node"])
 
     return run
 
@@ -283,8 +284,11 @@ def hooked(label: Forest, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label.add(a[left[first]], b[left[first]])
 
 
-def nearest_forests(radius: int, forests: int = 1):
-    """For rows sorted into groups, pairs of each group within the radius: a minimum spanning forest, then one of the pairs left, and so on."""
+def nearest_forests(radius: int, forests: int = 1, name: str = "fp"):
+    """For rows sorted into groups, pairs of each group within the radius: a minimum spanning forest, then one of the pairs left, and so on.
+
+    Pairs are given by the rows' values of column ``name``.
+    """
 
     def distances(fps: np.ndarray, a, b) -> np.ndarray:
         return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=-1, dtype=np.int64)
@@ -350,17 +354,24 @@ def nearest_forests(radius: int, forests: int = 1):
                         right.append(y)
                         taken.setdefault(x, []).append(y)
                         taken.setdefault(y, []).append(x)
-            kinds = pa.int64()
-            yield pa.RecordBatch.from_arrays([column.take(pa.array(left, kinds)), column.take(pa.array(right, kinds))], ["a", "b"])
+            kinds, named = pa.int64(), rows.column(name).combine_chunks()
+            yield pa.RecordBatch.from_arrays([named.take(pa.array(left, kinds)), named.take(pa.array(right, kinds))], ["a", "b"])
 
     return run
 
 
-def shingle_sets(words: int):
+def shingle_sets(words: int, lanes: int):
+    """(node, shingles) of the texts whose fingerprint is the one beside them, as rows of one id may hold different texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            sets = [np.unique(shingle_hashes(x or "", words)).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array(sets, pa.binary())], ["first", "shingles"])
+            nodes, sets = [], []
+            for text, fp, node in zip(*(batch.column(c).to_pylist() for c in ("text", "fp", "node"))):
+                found = np.unique(shingle_hashes(text or "", words))
+                if majority(found, lanes).to_bytes(8 * lanes, "big") == fp:
+                    nodes.append(node)
+                    sets.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -442,7 +453,7 @@ def linked_sets(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["cell", "i", "j"]):
-            column, shingles = rows.column("fp").combine_chunks(), rows.column("shingles")
+            column, shingles = rows.column("node").combine_chunks(), rows.column("shingles")
             i, j, side = (rows.column(c).to_numpy() for c in ("i", "j", "side"))
             starts = group_starts(rows, ["cell", "i", "j"])
             left, right = [], []
@@ -480,7 +491,7 @@ def most_differing(similarity: float, above: int = FEW) -> float:
 
 
 def small_sets(words: int, lanes: int, similarity: float, most: int = FEW):
-    """(cell, fp, shingles) of texts of at most ``most`` shingles: a cell for each of the set's first members."""
+    """(fp, shingles, cells) of texts of at most ``most`` shingles: a cell for each of the set's first members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -489,11 +500,10 @@ def small_sets(words: int, lanes: int, similarity: float, most: int = FEW):
                 # Texts of many words may have few shingles, as these may repeat.
                 found = np.unique(shingle_hashes(text or "", words)) if few_enough(text or "", words, most) else ()
                 if 0 < len(found) <= most:
-                    for x in found[: int(prefix(np.int64(len(found)), similarity))].view(np.int64).tolist():
-                        cells.append(x)
-                        fps.append(majority(found, lanes).to_bytes(8 * lanes, "big"))
-                        sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["cell", "fp", "shingles"])
+                    cells.append(found[: int(prefix(np.int64(len(found)), similarity))].view(np.int64).tolist())
+                    fps.append(majority(found, lanes).to_bytes(8 * lanes, "big"))
+                    sets.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["fp", "shingles", "cells"])
 
     return run
 
@@ -512,11 +522,17 @@ def linked(fps: DataFrame) -> DataFrame:
     return dealt_cells(cells, "cell", "fp").mapInArrow(linked_forest(RADIUS), "a bigint, b bigint")
 
 
-def grouped(marked: DataFrame, pairs_of) -> DataFrame:
-    """(doc_id, fp, component_id) from (doc_id, fp) and a function from distinct fingerprints to linked pairs."""
-    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(pairs_of(least)).select(F.col("node").alias("fp"), "root")
-    placed = cut(least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+def grouped(marked: DataFrame, pairs_of, numbered: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) from (doc_id, fp) and a function from distinct fingerprints (fp, first, node) to linked pairs of nodes.
+
+    ``node`` is the fingerprint itself or, with ``numbered``, a number for it,
+    which joins move and compare more cheaply than long fingerprints.
+    """
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    # The checkpoint fixes the numbers.
+    least = cut(least.withColumn("node", F.monotonically_increasing_id() if numbered else F.col("fp")))
+    roots = connected_components(pairs_of(least))
+    placed = cut(least.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")))
     firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = cut(placed.join(firsts, "root").select("fp", "component_id"))
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
@@ -554,35 +570,34 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mis
     differ, size = most_differing(similarity), 64 * lanes
     chance = np.array([math.comb(size, k) * differ**k * (1 - differ) ** (size - k) for k in range(size + 1)])
     radius = int(np.argmax(1 - np.cumsum(chance) <= missed))
-    kind = docs.schema[doc_id].dataType.simpleString()
 
     def by_sets(rows: DataFrame) -> DataFrame:
-        groups = dealt_cells(rows, "cell", "fp", SETS, F.octet_length("shingles"), SET_BYTES)
-        return groups.mapInArrow(linked_sets(similarity), "a binary, b binary")
+        groups = dealt_cells(rows, "cell", "node", SETS, F.octet_length("shingles"), SET_BYTES)
+        return groups.mapInArrow(linked_sets(similarity), "a bigint, b bigint")
 
     def pairs_of(least: DataFrame) -> DataFrame:
         n = least.count()
         bits = max(6, math.ceil(math.log2(max(n, 1) / bucket)))
         tables = sampled_tables(bits, 64 * lanes, differ, missed)
-        cells = least.select("fp").mapInArrow(in_sampled_cells(bits, tables, lanes), "cell bigint, fp binary")
-        proposed = dealt_cells(cells, "cell", "fp").mapInArrow(nearest_forests(radius), "a binary, b binary")
+        cells = least.select("fp", "node").mapInArrow(in_sampled_cells(bits, tables, lanes), "cell bigint, fp binary, node bigint")
+        proposed = dealt_cells(cells, "cell", "node").mapInArrow(nearest_forests(radius, name="node"), "a bigint, b bigint")
         proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         # One document stands for each fingerprint that has a proposal.
-        ends = cut(proposed.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(least, "fp"))
-        texts = docs.select(F.col(doc_id).alias("first"), F.col(text).cast("string").alias("text")).join(ends.select("first").distinct(), "first", "left_semi")
-        sets = texts.mapInArrow(shingle_sets(words), f"first {kind}, shingles binary").dropDuplicates(["first"])
-        sets = cut(ends.join(sets, "first").select("fp", "shingles"))
-        both = proposed.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
-        decided = cut(both.select("a", "b", "s", "t").mapInArrow(confirmed(similarity), "a binary, b binary, yes boolean"))
+        ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(least, "node")
+        texts = docs.select(F.col(doc_id).alias("first"), F.col(text).cast("string").alias("text")).join(ends, "first")
+        sets = cut(texts.select("text", "fp", "node").mapInArrow(shingle_sets(words, lanes), "node bigint, shingles binary").dropDuplicates(["node"]))
+        both = proposed.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+        decided = cut(both.select("a", "b", "s", "t").mapInArrow(confirmed(similarity), "a bigint, b bigint, yes boolean"))
         # Of what proposals connect, that with a refused pair and some pair not yet decided.
         roots = cut(connected_components(decided))
         counts = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
         refused = decided.join(roots, F.col("a") == F.col("node")).groupBy("root").agg(F.bool_or(~F.col("yes")).alias("no"), F.count(F.lit(1)).alias("n_pairs"))
         mixed_roots = refused.join(counts, "root").where("no and 2 * n_pairs < n * (n - 1)").select("root")
-        mixed_rows = roots.join(mixed_roots, "root").join(sets, F.col("node") == F.col("fp"))
-        hidden = by_sets(mixed_rows.select(F.col("root").alias("cell"), "fp", "shingles"))
+        mixed_rows = roots.join(mixed_roots, "root").join(sets, "node")
+        hidden = by_sets(mixed_rows.select(F.col("root").alias("cell"), "node", "shingles"))
         bodies = docs.select(F.col(text).cast("string").alias("text"))
-        small = by_sets(bodies.mapInArrow(small_sets(words, lanes, similarity), "cell bigint, fp binary, shingles binary").distinct())
+        small = bodies.mapInArrow(small_sets(words, lanes, similarity), "fp binary, shingles binary, cells array<bigint>").dropDuplicates(["fp", "shingles"])
+        small = by_sets(small.join(least, "fp").select(F.explode("cells").alias("cell"), "node", "shingles"))
         return decided.where("yes").select("a", "b").unionByName(cut(hidden)).unionByName(cut(small))
 
-    return grouped(cut(simhashes(docs, words, lanes, True, text, doc_id)), pairs_of)
+    return grouped(cut(simhashes(docs, words, lanes, True, text, doc_id)), pairs_of, numbered=True)
