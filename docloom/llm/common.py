@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,6 +42,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own for ``name`` in this session's part of the shared folder, which is deleted when the session ends."""
+    at = f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage that is read no more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back: without lineage, and with the size that it really has.
+
+    A checkpoint keeps its plan's estimate, in which joins multiply; over the
+    rounds of an iteration these grow to numbers of millions of digits.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_or_empty(df: DataFrame, col: str = "text"):
     return F.coalesce(df[col].cast("string"), F.lit(""))
 
