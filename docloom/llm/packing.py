@@ -11,6 +11,7 @@ which need no padding.  Nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,6 +28,8 @@ from .common import small_batches, strings
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 #: BM25's parameters, and neighbours returned.
 K1, B, NEIGHBOURS = 1.2, 0.75, 16
+#: Characters of a text that the compiled encoder gets at once, and where texts may be cut.
+SEGMENT, CUT = 65_536, re.compile(r"\S(?=[ \n])")
 
 
 @lru_cache(maxsize=4)
@@ -40,9 +43,31 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     made = [i for _, i in sorted(t.merge.values())]
     if made != sorted(set(made)) or made and min(made) <= max(t.first):
         return lambda text: np.array(t.encode(text), dtype=np.uint32)
-    ranks = {s: i for i, s in enumerate(t.strings) if s and i not in set(t.special.values())}
+    special = set(t.special.values())
+    ranks = {s: i for i, s in enumerate(t.strings) if s and i not in special}
     fast = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=t.special)
-    return lambda text: fast.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) <= SEGMENT:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        return np.concatenate([fast.encode_to_numpy(x, allowed_special="all") if len(x) <= 2 * SEGMENT else np.array(t.encode(x), dtype=np.uint32) for x in segments(text)])
+
+    return encode
+
+
+def segments(text: str) -> Iterator[str]:
+    """``text`` in parts of about ``SEGMENT`` characters, cut where no piece of the tokenizer goes on.
+
+    A blank or line break after something else always begins a piece, and
+    nothing before it looks beyond it.  A part is longer only where a run has
+    no such place; the compiled encoder, whose patterns need a stack as deep
+    as a run of white space is long, doesn't get it.
+    """
+    at = 0
+    while len(text) - at > SEGMENT and (found := CUT.search(text, at + SEGMENT)):
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:]
 
 
 class Index:
@@ -139,7 +164,8 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, text:
     sequence.  Each document is followed by ``end_id``; so an empty or null
     text has one id.  Every id lies in one piece, and every sequence is full or
     as long as a power of two.  Sequences are numbered by partition and shard.
-    Repeated rows are packed each; an empty table gives no rows.
+    Repeated rows are packed each; an empty table gives no rows.  A text of any
+    length is encoded whole, also one that is a single run of one character.
     """
     rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
     kind = rows.schema["doc_id"].dataType.simpleString()
