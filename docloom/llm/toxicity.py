@@ -8,8 +8,8 @@ labelled row gets them from models that were fitted without it, so that later
 models see earlier predictions as good as they will be on new texts.
 
 Models are fitted on the driver over a bounded sample of labelled rows
-(``max_labelled``, taken in the order of a hash of the id); all documents are
-scored, whole, where they are read.
+(``max_labelled`` and ``max_bytes``, taken in the order of a hash of the id);
+all documents are scored, whole, where they are read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import small_batches
+from .common import cut, small_batches
 
 WORDS = re.compile(r"\w+").findall
 #: Lengths of the beginnings that count as features of longer words.
@@ -168,26 +168,37 @@ def fit_chain(sample: Sample, labels: np.ndarray, categories: list[str], folds:
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_labelled: int = 8000, text: str = "text", doc_id: str = "doc_id") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_labelled: int = 8000, max_bytes: int = 256 << 20, text: str = "text", doc_id: str = "doc_id") -> Chain:
     """A chain for ``categories``: names to SQL conditions over ``labels``, in the order of the chain.
 
-    At most ``max_labelled`` rows of ``labels`` are used, the first by a hash
-    of their id, and only words that occur in their texts come to the driver.
-    Rows whose conditions or ids are null are left out.  Without labelled
-    texts the chain gives every text log-odds of 0.
+    At most ``max_labelled`` ids of ``labels`` are used, the first by a hash
+    of the id.  Only the distinct words of their texts come to the driver, and
+    of those ``max_bytes`` at most: ids whose words would go beyond it, in that
+    same order, are left out.  Of an id that several rows of ``labels`` name,
+    the smallest conditions count; of several rows of ``docs``, the one with
+    the smallest hash of its text.  Rows whose conditions or ids are null are
+    left out; null texts count as empty.  The ``FEATURES`` most telling features
+    of at least ``LEAST_DOCS`` labelled texts are used, ties by name.  Without
+    labelled texts the chain gives every text log-odds of 0.
     """
-    chosen = labels.select(F.col(doc_id).alias("doc_id"), *(F.expr(c).cast("int").alias(f"c{k}") for k, c in enumerate(categories.values()))).dropna().dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     names = [f"c{k}" for k in range(len(categories))]
+    chosen = labels.select(F.col(doc_id).alias("doc_id"), *(F.expr(c).cast("int").alias(n) for n, c in zip(names, categories.values()))).dropna()
+    chosen = chosen.groupBy("doc_id").agg(*(F.min(n).alias(n) for n in names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    kind, kinds = docs.schema[doc_id].dataType.simpleString(), ", ".join(f"{c} int" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             words = pa.array([sorted(words_of(x)) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("fold"), *(batch.column(c) for c in names), words], ["fold", *names, "words"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "body", *names)), words], ["doc_id", "body", *names, "words"])
 
+    found = rows.select("doc_id", F.xxhash64("text").alias("body"), *names, "text").mapInArrow(run, f"doc_id {kind}, body bigint, {kinds}, words array<string>")
+    # An id's rows are combined before the shuffle, so that none is too many for a task.
+    found = cut(found.groupBy("doc_id").agg(F.min_by(F.struct(*names, "words"), "body").alias("x")).select("doc_id", "x.*"))
+    held = found.select("doc_id", F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 8).alias("held"))
+    within = held.selectExpr("doc_id", "sum(held) over (order by xxhash64(doc_id), doc_id) as upto").where(F.col("upto") <= max_bytes).select("doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
-    got = rows.select(fold, *names, "text").mapInArrow(run, f"fold int, {', '.join(f'{c} int' for c in names)}, words array<string>").toArrow()
+    got = found.join(F.broadcast(within), "doc_id").select(fold, *names, "words").toArrow()
     if not got.num_rows:
         return Chain(list(categories), [Linear(0.0, {}, [0.0] * k) for k in range(len(categories))])
     sample = Sample.of(x.as_py() for x in got.column("words"))
@@ -198,8 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_la
 def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
     """``docs`` with ``prefix`` and name of each category of ``chain`` as columns.
 
-    A null text counts as empty.  All columns are kept, repeated rows too;
-    columns of those names are replaced.
+    A null text counts as empty, and a text of any length is read whole.  All
+    columns are kept, repeated rows and rows without an id too; columns of
+    those names are replaced; an empty table gives no rows.
     """
     names = [f"{prefix}{c}" for c in chain.categories]
     rows = docs.drop(*names)
