@@ -7,6 +7,12 @@ follows from the recall wanted at the threshold: two vectors at angle a agree
 on a plane with probability 1 - a / pi.  Candidates are verified by their
 cosine in double precision.  Equal vectors are merged first; a bucket of any
 size is compared in bounded groups.
+
+A table moves each vector once, so that few tables of large buckets cost less
+than many of small ones.  Which earlier tables a pair has met in already is
+worked out anew where it is verified, instead of moving the signs: planes and
+vectors are rounded to whole numbers whose products and sums a double holds
+exactly, so that a sign is the same wherever it is computed.
 """
 
 from __future__ import annotations
@@ -24,7 +30,8 @@ from .common import Forest, cut, group_starts, whole_groups
 from .components import connected_components
 from .simhash import mixed
 
-BLOCK = 512
+#: Rows of a group that are compared with the others at once, and rows of a group's sides at most.
+BLOCK, CHUNK = 256, 8192
 
 
 def tables_for(n: int, cosine: float, missed: float, bucket: int) -> tuple[int, int]:
@@ -39,55 +46,66 @@ def usable(vector: str) -> str:
     return f"{vector} is not null and not exists({vector}, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists({vector}, x -> x <> 0)"
 
 
+def planes_of(dim: int, planes: int, tables: int, seed: int) -> np.ndarray:
+    """The normals of all tables' planes, one a column, as whole numbers of up to 13 bits."""
+    return np.rint(np.random.default_rng([seed, dim]).standard_normal((dim, planes * tables)) * 1024)
+
+
+def sides_of(x: np.ndarray, normals: np.ndarray, planes: int) -> np.ndarray:
+    """For each vector and table, the sides of the table's planes that it is on, as bits of a number."""
+    whole = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * (1 << 20))
+    sides = (whole @ normals >= 0).reshape(len(x), -1, planes)
+    return (sides * np.left_shift(np.uint64(1), np.arange(planes, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+
+
 def in_buckets(planes: int, tables: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, np.ndarray] = {}
         salts = np.arange(1, tables + 1, dtype=np.uint64)
-        powers = np.left_shift(np.uint64(1), np.arange(planes, dtype=np.uint64))
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                lists = batch.column("vec")
-                dims = np.asarray(lists.value_lengths())
-                for dim in np.unique(dims):
+                dims = np.asarray(batch.column("vec").value_lengths())
+                for dim in np.unique(dims).tolist():
                     rows = batch.filter(pa.array(dims == dim))
                     x = np.asarray(rows.column("vec").flatten(), dtype=np.float64).reshape(-1, dim)
                     if dim not in drawn:
-                        drawn[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), planes * tables))
-                    sides = (x @ drawn[dim] >= 0).reshape(len(x), tables, planes)
-                    signs = (sides * powers).sum(axis=2, dtype=np.uint64)
-                    keys = mixed(signs, salts[None, :] + np.uint64(int(dim) << 20))
-                    short = x.astype(np.float32)
-                    stored = short if (short == x).all() else x
-                    again = lambda values: pa.array([v for v in values for _ in range(tables)], pa.binary())
+                        drawn[dim] = planes_of(dim, planes, tables, seed)
+                    keys = mixed(sides_of(x, drawn[dim], planes), salts[None, :] + np.uint64(dim << 20))
+                    with np.errstate(over="ignore"):
+                        short = x.astype(np.float32)
+                    exact = (short == x).all(axis=1)
+                    stored = [b"f" + s.tobytes() if e else b"d" + v.tobytes() for s, v, e in zip(short, x, exact.tolist())]
+                    again = pa.array(np.repeat(np.arange(len(x)), tables))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(keys.ravel().view(np.int64)),
                             pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))),
-                            pa.array(np.repeat(rows.column("class").to_numpy(), tables)),
-                            pa.array(np.repeat(rows.column("copies").to_numpy(), tables)),
-                            again([s.tobytes() for s in signs]),
-                            again([v.tobytes() for v in stored]),
-                            pa.array(np.full(len(x) * tables, int(dim), dtype=np.int32)),
+                            rows.column("class").take(again),
+                            rows.column("copies").take(again),
+                            pa.array(stored, pa.binary()).take(again),
                         ],
-                        ["cell", "t", "class", "copies", "signs", "vec", "dim"],
+                        ["cell", "t", "class", "copies", "vec"],
                     )
 
     return run
 
 
-def vectors_of(rows: pa.Table) -> np.ndarray:
-    """The group's vectors as unit vectors in double precision."""
-    dim = rows.column("dim")[0].as_py()
-    out = np.array([np.frombuffer(v, dtype=np.float32 if len(v) == 4 * dim else np.float64) for v in rows.column("vec").to_pylist()], dtype=np.float64)
-    out /= np.abs(out).max(axis=1, keepdims=True)
+def vectors_of(rows: pa.Table) -> list[np.ndarray]:
+    """The group's vectors in double precision; those of a cell have one length, unless hashes collide."""
+    return [np.frombuffer(v[1:], dtype=np.float32 if v[:1] == b"f" else np.float64).astype(np.float64) for v in rows.column("vec").to_pylist()]
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    out = x / np.abs(x).max(axis=1, keepdims=True)
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
-def verified(cosine: float):
+def verified(cosine: float, planes: int, tables: int, seed: int):
     """For groups of candidates: how many vectors each class is linked to, and a spanning forest of its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, np.ndarray] = {}
         for rows in whole_groups(batches, ["cell", "i", "j"]):
             starts = group_starts(rows, ["cell", "i", "j"])
             ends = np.append(starts[1:], rows.num_rows)
@@ -96,31 +114,38 @@ def verified(cosine: float):
             forest = Forest(len(classes))
             for start, end in zip(starts, ends):
                 group = rows.slice(start, end - start)
-                side, local = group.column("side").to_numpy(), where[start:end]
-                copies, t = group.column("copies").to_numpy(), group.column("t").to_numpy()
                 within = group.column("i")[0] == group.column("j")[0]
-                left, right = (np.arange(len(side)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-                if not len(left) or not len(right):
-                    continue
-                x = vectors_of(group)
-                signs = np.array([np.frombuffer(s, dtype=np.uint64) for s in group.column("signs").to_pylist()])
-                for lo in range(0, len(left), BLOCK):
-                    part = left[lo : lo + BLOCK]
-                    a, b = np.nonzero(x[part] @ x[right].T >= cosine)
-                    a, b = part[a], right[b]
-                    if within:
-                        a, b = a[a < b], b[a < b]
-                    same = (local[a] != local[b]) & (t[a] == t[b])
-                    a, b = a[same], b[same]
-                    # A pair counts in the first of the tables in which it meets.
-                    met = np.zeros(len(a), dtype=np.int64)
-                    for k in range(0, len(a), 8192):
-                        met[k : k + 8192] = (signs[a[k : k + 8192]] == signs[b[k : k + 8192]]).argmax(axis=1)
-                    first = (met == t[a]) & (signs[a, t[a]] == signs[b, t[b]])
-                    a, b = a[first], b[first]
-                    np.add.at(links, local[a], copies[b])
-                    np.add.at(links, local[b], copies[a])
-                    forest.add(local[a], local[b])
+                raw, t_of = vectors_of(group), group.column("t").to_numpy()
+                dims = np.array([len(v) for v in raw])
+                # A cell has one table and one length of vectors, unless hashes collide.
+                for t, dim in sorted({*zip(t_of.tolist(), dims.tolist())}):
+                    own = np.flatnonzero((t_of == t) & (dims == dim))
+                    side, local = group.column("side").to_numpy()[own], where[start:end][own]
+                    copies = group.column("copies").to_numpy()[own]
+                    left, right = (np.arange(len(own)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+                    if not len(left) or not len(right):
+                        continue
+                    x = np.stack([raw[k] for k in own])
+                    u = units(x)
+                    if dim not in drawn:
+                        drawn[dim] = planes_of(dim, planes, tables, seed)
+                    signs = None
+                    for lo in range(0, len(left), BLOCK):
+                        part, others = left[lo : lo + BLOCK], right[lo:] if within else right
+                        a, b = np.nonzero(u[part] @ u[others].T >= cosine)
+                        a, b = part[a], others[b]
+                        new = (a < b) & (local[a] != local[b]) if within else local[a] != local[b]
+                        a, b = a[new], b[new]
+                        # A pair counts in the first of the tables in which it meets.
+                        if t and len(a):
+                            if signs is None:
+                                signs = sides_of(x, drawn[dim][:, : t * planes], planes)
+                            again = [(signs[a[k : k + 8192]] == signs[b[k : k + 8192]]).any(axis=1) for k in range(0, len(a), 8192)]
+                            new = ~np.concatenate(again)
+                            a, b = a[new], b[new]
+                        np.add.at(links, local[a], copies[b])
+                        np.add.at(links, local[b], copies[a])
+                        forest.add(local[a], local[b])
             found = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(classes[found]), pa.array(classes[forest.label[found]]), pa.array(links[found])], ["a", "b", "links"])
 
@@ -128,7 +153,7 @@ def verified(cosine: float):
 
 
 def near_vectors(
-    vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", cosine: float = 0.9, missed: float = 1e-3, bucket: int = 64, seed: int = 7
+    vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", cosine: float = 0.9, missed: float = 1e-3, bucket: int = 2048, seed: int = 7
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
@@ -140,15 +165,16 @@ def near_vectors(
     or non-finite components, and rows without an id are linked with nothing,
     not even with their copies.  Vectors of different lengths are not
     compared.  Ids name vectors: rows of one id should hold one vector.
-    Extra columns are not read.
+    Repeated rows are vectors each; an empty table gives no rows; other
+    columns are not read.
     """
     rows = vectors.selectExpr(f"cast(`{vec_id}` as bigint) as vec_id", f"cast(`{vector}` as array<double>) as vec")
     ok = f"vec_id is not null and {usable('vec')}"
     good = rows.where(ok)
     classes = cut(good.groupBy("vec").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("copies")))
     planes, tables = tables_for(classes.count(), cosine, missed, bucket)
-    placed = classes.mapInArrow(in_buckets(planes, tables, seed), "cell bigint, t int, class bigint, copies bigint, signs binary, vec binary, dim int")
-    found = cut(dealt_cells(placed, "cell", "class").mapInArrow(verified(cosine), "a bigint, b bigint, links bigint"))
+    placed = classes.mapInArrow(in_buckets(planes, tables, seed), "cell bigint, t int, class bigint, copies bigint, vec binary")
+    found = cut(dealt_cells(placed, "cell", "class", CHUNK).mapInArrow(verified(cosine, planes, tables, seed), "a bigint, b bigint, links bigint"))
     links = found.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     roots = connected_components(found).select(F.col("node").alias("class"), "root")
     named = classes.join(links, "class", "left").join(roots, "class", "left")
