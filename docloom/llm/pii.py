@@ -3,7 +3,8 @@
 Patterns propose spans; checks confirm them (Luhn for cards, the remainder by
 97 for IBANs, ranges for addresses and phones); words of the context before a
 span adjust its score.  Positions come from cutting the text at the matches
-and adding up the lengths of the parts, in code points.
+and adding up the lengths of the parts, in code points.  A text's matches are
+handled in chunks, so that a text of very many takes time in proportion to them.
 
 Patterns are written so that none backtracks over a long run: a proposal
 starts at a run's start or where the last match ended, and repeated groups are
@@ -23,6 +24,22 @@ SPAN = "array<struct<s:int,k:int,e:int,kind:string,m:string,score:double>>"
 CONTEXT = 48
 #: Spans of added kinds count from this score on; base kinds always do.
 ENOUGH = 0.6
+#: Matches of a text that are handled together.
+CHUNK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def chunk(values: Column, k: Column) -> Column:
+    return F.slice(values, k * CHUNK + 1, F.lit(CHUNK))
+
+
+def chunks(values: Column) -> Column:
+    """Numbers of the chunks of a list that isn't empty."""
+    return F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int"))
 
 
 def digits(m: Column) -> Column:
@@ -92,20 +109,31 @@ BASE = tuple(k.name for k in KINDS if k.base)
 
 def spans_of(text: Column, order: int, kind: Kind) -> Column:
     """Confirmed spans of one kind, in order, each with its score."""
-    parts, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.char_length(p).alias("p"), m.alias("m")))
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,m:string>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["p"] + F.char_length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["p"]).alias("s"), x["m"].alias("m")))).alias("out")),
-        lambda a: a["out"],
-    )
+    # The part after the last match has no match beside it.
+    pairs = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    length = lambda x: F.char_length(x["p"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))
+
+    def step(a: Column, x: Column) -> Column:
+        s, before = a["at"] + F.char_length(x["p"]), F.concat(a["tail"], x["p"])
+        span = F.struct(s.alias("s"), x["m"].alias("m"), F.substring(before, -CONTEXT, CONTEXT).alias("before"))
+        return F.struct((a["at"] + length(x)).alias("at"), F.substring(F.concat(before, F.coalesce(x["m"], F.lit(""))), -CONTEXT, CONTEXT).alias("tail"), F.concat(a["out"], F.array(span)).alias("out"))
+
+    def in_chunk(v: Column, at: Column, k: Column) -> Column:
+        tail = F.substring(text, F.greatest(at - CONTEXT + 1, F.lit(1)), F.least(at, F.lit(CONTEXT)))
+        none = F.array().cast("array<struct<s:int,m:string,before:string>>")
+        return F.aggregate(chunk(v, k), F.struct(at.alias("at"), tail.alias("tail"), none.alias("out")), step, lambda a: a["out"])
+
+    def in_order(v: Column) -> Column:
+        totals = F.transform(chunks(v), lambda k: F.aggregate(chunk(v, k), F.lit(0), lambda n, x: n + length(x)))
+        begun = F.aggregate(totals, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.transform(begun, lambda at, k: in_chunk(v, at, k)))
+
+    placed = F.filter(let(pairs, in_order), lambda x: x["m"].isNotNull())
     if kind.check is not None:
         placed = F.filter(placed, lambda x: kind.check(x["m"]))
 
     def scored(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT))))
-        bonus = F.when(before.rlike(rf"\b(?:{kind.words})"), kind.bonus).otherwise(0.0)
+        bonus = F.when(F.lower(x["before"]).rlike(rf"\b(?:{kind.words})"), kind.bonus).otherwise(0.0)
         return F.struct(x["s"], F.lit(order), x["s"] + F.char_length(x["m"]), F.lit(kind.name), x["m"], F.least(F.lit(1.0), F.lit(kind.score) + bonus))
 
     out = F.transform(placed, scored).cast(SPAN)
@@ -114,6 +142,25 @@ def spans_of(text: Column, order: int, kind: Kind) -> Column:
     return F.when(F.contains(text, F.lit(kind.hint)), out).otherwise(F.array().cast(SPAN)) if kind.hint else out
 
 
+def apart(x: Column, spans: Column) -> Column:
+    """Whether ``x`` overlaps none of ``spans``, which are in order and don't overlap: by bisection."""
+
+    def halved(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        open_, ended = a["lo"] < a["hi"], F.get(spans, middle)["e"] <= x["s"]
+        return F.struct(F.when(open_ & ended, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~ended, middle).otherwise(a["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(spans))))
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halved, lambda a: a["lo"])
+    return F.coalesce(F.get(spans, first)["s"] >= x["e"], F.lit(True))
+
+
+def without(own: Column, spans: Column) -> Column:
+    """Those of ``own`` that overlap none of ``spans``."""
+    left = let(spans, lambda v: F.filter(own, lambda x: apart(x, v)))
+    return F.when((F.size(own) > 0) & (F.size(spans) > 0), left).otherwise(own)
+
+
 def with_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with column ``into``: all spans, by start and then by kind.
 
@@ -130,7 +177,9 @@ def with_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFr
     found = [F.col("__found")[f"k{i}"] for i in range(len(KINDS))]
 
     def alone(own: Column, others: list[Column]) -> Column:
-        return F.filter(own, lambda x: ~F.exists(F.concat(*others), lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))) if others else own
+        for other in others:
+            own = without(own, other)
+        return own
 
     added = []
     for i, kind in enumerate(KINDS):
@@ -144,13 +193,24 @@ def masked(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in angle brackets; of overlapping spans the first gives the name."""
     text = F.coalesce(text, F.lit(""))
 
-    def step(a: Column, x: Column) -> Column:
-        begun = x["s"] >= a["at"]
-        kept = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(begun, kept).otherwise(a["out"]).alias("out"))
+    def in_chunk(own: Column, at: Column) -> Column:
+        def named(part: Column) -> Column:
+            def step(a: Column, x: Column) -> Column:
+                kept = F.concat(a["out"], F.substring(part, a["at"] - at + 1, x["s"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+                return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], kept).otherwise(a["out"]).alias("out"))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+            return F.aggregate(own, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda a: a["out"])
+
+        # Behind the last chunk, the rest of the text.
+        rest = F.substring(text, at + 1, F.char_length(text))
+        return F.when(F.size(own) > 0, let(F.substring(text, at + 1, F.element_at(own, -1)["s"] - at), named)).otherwise(rest)
+
+    def in_order(v: Column) -> Column:
+        ends = F.transform(chunks(v), lambda k: F.array_max(F.transform(chunk(v, k), lambda x: x["e"])))
+        begun = F.aggregate(ends, F.array(F.lit(0)), lambda a, e: F.concat(a, F.array(F.greatest(F.element_at(a, -1), e))))
+        return F.array_join(F.transform(begun, lambda at, k: let(chunk(v, k), lambda own: in_chunk(own, at))), "")
+
+    return F.when(F.size(spans) > 0, let(spans, in_order)).otherwise(text)
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -164,7 +224,14 @@ def listed(spans: Column) -> Column:
 
 
 def span_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_<kind> of base spans, base_sha256, spans, scores) of every document."""
+    """(doc_id, n_<kind> of base spans, base_sha256, spans, scores) of every document.
+
+    Null texts count as empty and have no spans; a text of any length is
+    searched whole, in time about in proportion to its length.  Spans that
+    start at one place are listed in the order of their kinds.  Repeated rows
+    and rows without an id stay, each with its spans; an empty table gives no
+    rows; other columns are not read.
+    """
     rows = with_spans(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "pii").drop("text")
     base = F.filter("pii", lambda x: x["k"] < len(BASE))
     of_kind = lambda k: F.size(F.filter("pii", lambda x: x["k"] == BASE.index(k)))
