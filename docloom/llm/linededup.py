@@ -42,23 +42,25 @@ def winnowed(hashes: list[int], words: list[int], noise: int, least: int) -> tup
     before = np.concatenate([[0], np.cumsum(words)])
     if before[-1] < least:
         return [], []
-    starts = before[:-1]
+    # A run that begins with lines without words is found by its first line with some.
+    at = np.flatnonzero(np.diff(before))
+    starts = before[at]
     gram_end = np.searchsorted(before, starts + noise)  # exclusive
     window_end = np.searchsorted(before, starts + least)
     h = np.array(hashes, dtype=np.uint64)
     grams: list[int] = []
-    for i in range(n):
-        if gram_end[i] > n:
+    for k, i in enumerate(at.tolist()):
+        if gram_end[k] > n:
             break
-        grams.append(xxhash.xxh64_intdigest(h[i : gram_end[i]].tobytes()) >> 1)
+        grams.append(xxhash.xxh64_intdigest(h[i : gram_end[k]].tobytes()) >> 1)
     picked: dict[tuple[int, int], None] = {}
     stops = np.searchsorted(gram_end[: len(grams)], window_end, side="right").tolist()
-    for i in range(int(np.searchsorted(window_end, n, side="right"))):
+    for j in range(int(np.searchsorted(window_end, n, side="right"))):
         # Of equal grams the last, so that repeated lines are picked once.
-        best = min(range(i, stops[i]), key=lambda k: (grams[k], -k))
-        picked[best, grams[best]] = None
-        if best != i or gram_end[best] != window_end[i]:
-            picked[i, xxhash.xxh64_intdigest(h[i : window_end[i]].tobytes()) >> 1] = None
+        best = min(range(j, stops[j]), key=lambda k: (grams[k], -k))
+        picked[int(at[best]), grams[best]] = None
+        if best != j or gram_end[best] != window_end[j]:
+            picked[int(at[j]), xxhash.xxh64_intdigest(h[at[j] : window_end[j]].tobytes()) >> 1] = None
     return [i for i, _ in picked], [x for _, x in picked]
 
 
@@ -112,7 +114,8 @@ def without_repeats(docs: DataFrame, words: int = 50, noise: int = 25, text: str
     first:end, end exclusive, joined by commas; white space within lines is
     folded for comparison only.  Documents of fewer words, null texts and rows
     without an id stay as they are.  Rows that repeat an id and a text are one
-    place: of those, copies are not deleted from each other.  Columns keep
+    place: of those, copies are not deleted from each other.  A text of any
+    length is read whole; an empty table gives no rows.  Columns keep
     their names; n_lines, n_removed and removed, behind ``prefix``, replace
     columns so called.
     """
