@@ -131,6 +131,8 @@ def decoded(v: Any) -> Any:
         return int(next(iter(v.values())))
     if keys == {"$numberDouble"}:
         return float(v["$numberDouble"])
+    if keys == {"$numberDecimal"}:
+        return float(v["$numberDecimal"])
     if keys == {"$undefined"}:
         return None
     if keys == {"$symbol"} or keys == {"$code"}:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import Scope, of_schema, quoted
-from ..functions.types import RequestError, class_of_type
+from ..functions.types import WHOLE, RequestError, class_of_type
 from .expressions import expression, number
 from .filters import compiled
 from .project import projected
@@ -24,13 +24,18 @@ FOLDS = {"$sum": F.sum, "$min": F.min, "$max": F.max, "$avg": F.avg}
 
 def aggregated(df: DataFrame, pipeline: dict | list, dynamic: str | None = None) -> DataFrame:
     """The result of a pipeline, or of a single stage, as a lazy DataFrame."""
-    for stage in [pipeline] if isinstance(pipeline, dict) else pipeline:
+    stages = [pipeline] if isinstance(pipeline, dict) else list(pipeline)
+    moved = False
+    for k, stage in enumerate(stages):
         if not isinstance(stage, dict) or len(stage) != 1:
             raise RequestError(f"a stage has one operator: {stage!r}")
         name, spec = next(iter(stage.items()))
         if name not in STAGES:
             raise RequestError(f"unknown stage {name}")
-        df = STAGES[name](df, spec, dynamic)
+        # Rows as the scan gives them are skipped where they are.
+        last = k + 1 == len(stages) or "$limit" not in stages[k + 1]
+        df = skipped(df, spec) if name == "$skip" and last and not moved else STAGES[name](df, spec, dynamic)
+        moved = moved or name in ("$group", "$count", "$sort", "$skip", "$limit")
         if name in ("$group", "$count"):
             dynamic = None
     return df
@@ -94,8 +99,13 @@ def accumulator(name: str, spec: Any, scope: Scope) -> Column:
             return (F.count(F.lit(1)) * F.lit(source)).cast("double").alias(name)
         return FOLDS[op](F.lit(float(source))).alias(name)
     field = expression(source, scope)
-    if op in ("$sum", "$avg"):
-        return FOLDS[op](number(source, scope).col).cast("double").alias(name)
+    if op == "$sum":
+        summed = number(source, scope)
+        total = F.sum(summed.col.cast("double"))
+        # Whole numbers are summed as such up to 64 bits, beyond as doubles.
+        return (F.coalesce(F.try_sum(summed.col).cast("double"), total) if type(summed.type) in WHOLE else total).alias(name)
+    if op == "$avg":
+        return F.avg(number(source, scope).col).cast("double").alias(name)
     out = FOLDS[op](field.col)
     return (out.cast("double") if class_of_type(field.type) == "number" else out).alias(name)
 
@@ -129,6 +139,20 @@ def skip(df: DataFrame, n: int, dynamic: str | None = None) -> DataFrame:
     return df.offset(n)
 
 
+def skipped(df: DataFrame, n: int) -> DataFrame:
+    """``df``, a scan with filters, without its first ``n`` rows: a number of rows is dropped as the scan orders them, and the others stay in their tasks.
+
+    Spark's own offset would bring all rows to one task.
+    """
+    if not isinstance(n, int) or n < 0:
+        raise RequestError("$skip takes a number from 0")
+    if not n:
+        return df
+    rows = df.withColumn("__at", F.monotonically_increasing_id())
+    dropped = rows.select("__at").orderBy("__at").limit(n).agg(F.max("__at").alias("__upto"), F.count(F.lit(1)).alias("__n"))
+    return rows.join(F.broadcast(dropped), F.col("__at") > F.col("__upto")).drop("__at", "__upto", "__n")
+
+
 def unwind(df: DataFrame, spec: str | dict, dynamic: str | None = None) -> DataFrame:
     """A row for each element of an array; rows without elements go, unless they are to be preserved."""
     path = spec["path"] if isinstance(spec, dict) else spec

@@ -26,54 +26,88 @@ COMPARISONS = {"$eq": "eq", "$ne": "ne", "$gt": "gt", "$gte": "gte", "$lt": "lt"
 EARTH_METRES = 6_378_100.0
 
 
-def compiled(request: dict | None, scope: Scope) -> Column:
-    """The condition of a filter; an empty one holds for every row."""
+def compiled(request: dict | None, scope: Scope, negate: bool = False) -> Column:
+    """The condition of a filter; an empty one holds for every row.
+
+    With ``negate``, a condition that is true exactly where the filter's is not
+    true: false or null.  Negation is moved inwards to single comparisons, in
+    which form it reaches the scan.
+    """
     if not isinstance(request, dict) and request is not None:
         raise RequestError(f"a filter is a document, not {request!r}")
-    parts = [_entry(k, v, scope) for k, v in (request or {}).items()]
-    return reduce(and_, parts) if parts else F.lit(True)
+    parts = [_entry(k, v, scope, negate) for k, v in (request or {}).items()]
+    return _joined(parts, negate) if parts else F.lit(not negate)
+
+
+def _joined(parts: list[Column], negate: bool) -> Column:
+    """All of the conditions or, where each has been negated, one of them."""
+    return reduce(or_ if negate else and_, parts)
+
 
+def negated(condition: Column, negate: bool = True, field: Field | None = None) -> Column:
+    """What is true where ``condition`` is false or null; with ``field``, it is null just where the field is, which the scan understands."""
+    if not negate:
+        return condition
+    return (condition if field is None else field.col).isNull() | ~condition
 
-def negated(condition: Column) -> Column:
-    return ~F.coalesce(condition, F.lit(False))
 
+def _decides(field: Field | None, value: Any) -> Field | None:
+    """``field``, if a comparison of it with ``value`` is null just where it is null."""
+    known = value is not None and not (isinstance(value, (list, tuple)) and any(v is None for v in value))
+    return field if field is not None and known and class_of_type(field.type) in ("number", "string", "bool", "time", "binary") else None
 
-def _entry(name: str, value: Any, scope: Scope) -> Column:
+
+def _entry(name: str, value: Any, scope: Scope, negate: bool = False) -> Column:
     if name in ("$and", "$or", "$nor"):
         if not isinstance(value, (list, tuple)) or not value:
             raise RequestError(f"{name} takes a list of filters")
-        parts = [compiled(v, scope) for v in value]
-        joined = reduce(and_ if name == "$and" else or_, parts)
-        return negated(joined) if name == "$nor" else joined
+        inner = negate != (name == "$nor")
+        return _joined([compiled(v, scope, inner) for v in value], inner != (name != "$and"))
     if name == "$where":
         if not isinstance(value, str):
             raise RequestError("$where takes a SQL expression")
-        return F.expr(value)
+        return negated(F.expr(value), negate)
     if name.startswith("$"):
         raise RequestError(f"unknown operator {name}")
-    return on_field(scope(name), value, name, scope)
+    return on_field(scope(name), value, name, scope, negate)
 
 
-def on_field(field: Field | None, value: Any, name: str = "", scope: Scope | None = None) -> Column:
+def on_field(field: Field | None, value: Any, name: str = "", scope: Scope | None = None, negate: bool = False) -> Column:
     """The condition that ``value``, a literal or a document of operators, puts on one field."""
-    value = decoded(value)
+    value = decoded(regular(value))
     if isinstance(value, dict):
         operators = [k for k in value if k.startswith("$")]
         if operators and len(operators) < len(value):
             raise RequestError(f"{name}: operators and fields in one document")
         if operators:
-            return reduce(and_, [_operator(k, v, value, field, name) for k, v in value.items()])
+            return _joined([_operator(k, v, value, field, name, negate) for k, v in value.items()], negate)
         # A document of fields: each must match inside.
         if not value:
-            return F.lit(False) if field is None else field.col.isNotNull() & F.lit(class_of_type(field.type) == "document")
+            return negated(F.lit(False) if field is None else field.col.isNotNull() & F.lit(class_of_type(field.type) == "document"), negate)
         inner = (lambda path: None) if field is None else of_element(field)
         if field is not None and class_of_type(field.type) == "array":
-            return _any(field, lambda x: compiled(value, of_element(x)))
-        return reduce(and_, [on_field(inner(k), v, f"{name}.{k}") for k, v in value.items()])
+            return negated(_any(field, lambda x: compiled(value, of_element(x))), negate)
+        return _joined([on_field(inner(k), v, f"{name}.{k}", negate=negate) for k, v in value.items()], negate)
     if isinstance(value, re.Pattern):
         flags = "i" * bool(value.flags & re.I) + "m" * bool(value.flags & re.M) + "s" * bool(value.flags & re.S) + "x" * bool(value.flags & re.X)
-        return _regex(field, value.pattern, flags)
-    return _compare("eq", field, value)
+        return negated(_regex(field, value.pattern, flags), negate)
+    return negated(_compare("eq", field, value), negate, _decides(field, value))
+
+
+def regular(value: Any) -> Any:
+    """``value`` with regular expressions of extended JSON as the operators that search for them."""
+    if isinstance(value, (list, tuple)):
+        return [regular(v) for v in value]
+    if not isinstance(value, dict):
+        return value
+    if set(value) == {"$regularExpression"}:
+        spec = value["$regularExpression"]
+        return {"$regex": spec["pattern"], "$options": spec.get("options", "")}
+    return {k: regular(v) for k, v in value.items()}
+
+
+def searches(value: Any) -> bool:
+    return isinstance(value, dict) and "$regex" in value
 
 
 def _any(field: Field, condition) -> Column:
@@ -134,16 +168,22 @@ def _compare_variant(op: str, field: Field, value: Any, of: str) -> Column:
     return F.when(stored.rlike("^ARRAY"), element).otherwise(scalar)
 
 
-def _operator(op: str, value: Any, siblings: dict, field: Field | None, name: str) -> Column:
+def _operator(op: str, value: Any, siblings: dict, field: Field | None, name: str, negate: bool = False) -> Column:
+    if op == "$not":
+        return on_field(field, value, name, negate=not negate)
+    if op == "$nin":
+        return _operator("$in", value, siblings, field, name, not negate)
+    compares = op in COMPARISONS or op in ("$in", "$regex")
+    return negated(_positive(op, value, siblings, field, name), negate, _decides(field, value) if compares else None)
+
+
+def _positive(op: str, value: Any, siblings: dict, field: Field | None, name: str) -> Column:
     if op in COMPARISONS:
         return _compare(COMPARISONS[op], field, value)
-    if op in ("$in", "$nin"):
+    if op == "$in":
         if not isinstance(value, (list, tuple)):
-            raise RequestError(f"{op} takes a list")
-        among = _among(field, list(value))
-        return negated(among) if op == "$nin" else among
-    if op == "$not":
-        return negated(on_field(field, value, name))
+            raise RequestError("$in and $nin take a list")
+        return _among(field, list(value))
     if op == "$exists":
         there = F.lit(False) if field is None else F.try_variant_get(field.col, "$" + field.path, "variant").isNotNull() if field.is_variant else field.col.isNotNull()
         return there if value else ~there
@@ -153,9 +193,12 @@ def _operator(op: str, value: Any, siblings: dict, field: Field | None, name: st
     if op == "$mod":
         if not isinstance(value, (list, tuple)) or len(value) != 2 or not int(value[0]):
             raise RequestError("$mod takes [divisor, remainder], and the divisor is not 0")
-        return _numeric(field, lambda c: c.cast("long") % int(value[0]) == int(value[1]))
+        # What has no whole part in 64 bits, such as NaN, has no remainder.
+        return _numeric(field, lambda c: c.try_cast("long") % int(value[0]) == int(value[1]))
     if op == "$regex":
         options = siblings.get("$options", "")
+        if searches(value):
+            value, options = value["$regex"], value["$options"] or options
         pattern = value.pattern if isinstance(value, re.Pattern) else value
         return _regex(field, pattern, options)
     if op == "$options":
@@ -168,10 +211,11 @@ def _operator(op: str, value: Any, siblings: dict, field: Field | None, name: st
             return F.lit(False)
         return reduce(and_, [_operator("$elemMatch", v["$elemMatch"], {}, field, name) if isinstance(v, dict) and "$elemMatch" in v else _compare("eq", field, v) for v in parts])
     if op == "$elemMatch":
-        if field is None or class_of_type(field.type) != "array":
-            return F.lit(False)
         by_operator = any(k.startswith("$") and k not in ("$and", "$or", "$nor") for k in value)
-        return _any(field, lambda x: on_field(x, value, name) if by_operator else compiled(value, of_element(x)))
+        inner = lambda x: on_field(x, value, name) if by_operator else compiled(value, of_element(x))
+        if field is not None and field.is_variant:
+            return F.exists(field.at("array<variant>"), lambda x: F.coalesce(inner(Field(x, field.type)), F.lit(False)))
+        return _any(field, inner) if field is not None and class_of_type(field.type) == "array" else F.lit(False)
     if op == "$size":
         if field is None:
             return F.lit(False)
@@ -191,6 +235,9 @@ def _among(field: Field | None, values: list) -> Column:
     if field is None:
         return F.lit(any(v is None for v in values))
     kind = class_of_type(field.type)
+    patterns = [on_field(field, v) for v in values if searches(v)]
+    if patterns:
+        return reduce(or_, [_among(field, [v for v in values if not searches(v)]), *patterns])
     if kind in ("array", "variant"):
         parts = [on_field(field, v) if isinstance(v, re.Pattern) else _compare("eq", field, decoded(v)) for v in values]
         return reduce(or_, parts) if parts else F.lit(False)

@@ -10,19 +10,20 @@ from pyspark.sql import types as T
 
 from ..functions.paths import of_schema, quoted
 from ..functions.types import RequestError, decoded, literal, type_of, without_nulls
-from .filters import compiled, negated
+from .filters import compiled
 
 
 def deleted(df: DataFrame, filter: dict | None, dynamic: str | None = None) -> DataFrame:
     """The rows that ``filter`` does not hold for; a condition that is null does not hold."""
-    return df.where(negated(compiled(filter, of_schema(df.schema, dynamic))))
+    return df.where(compiled(filter, of_schema(df.schema, dynamic), negate=True))
 
 
 def updated(df: DataFrame, filter: dict | None, change: dict, dynamic: str | None = None) -> DataFrame:
     """``df`` with ``$set``, ``$inc`` and ``$unset`` applied where ``filter`` holds.
 
     Top-level fields are changed; a new one is null elsewhere.  A value has to
-    fit the column's type.
+    fit the column's type; an ``$inc`` beyond its range raises when the update
+    runs, which then changes nothing.
     """
     unknown = set(change) - {"$set", "$inc", "$unset"}
     if unknown or not change:

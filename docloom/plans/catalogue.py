@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,12 @@ from ..operators.aggregate import aggregated, sort
 from ..operators.filters import compiled, nearness
 from ..operators.mutate import deleted, updated
 from ..operators.project import projected
-from ..session import load
+from ..session import load, ship
+from ..sources.bson import read_bson, write_bson
 from ..sources.catalog import Database
-from ..sources.files import to_json
+from ..sources.files import read_csv, read_json, to_json, write_json
+from ..streaming.follow import followed
+from .commands import Session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,3 +330,197 @@ add(
     lambda spark, sf_dir: sort(load(spark, sf_dir, "customer").where(compiled({"c_acctbal": {"$gt": 9000}}, of_schema(load(spark, sf_dir, "customer").schema))), {"c_acctbal": -1, "c_custkey": 1}).limit(25).select("c_custkey", "c_acctbal"),
     "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000 ORDER BY 2 DESC, 1 LIMIT 25",
 )
+
+
+def _copied(spark: SparkSession, sf_dir: str, table: str):
+    """A collection of its own with the rows of a table."""
+    coll = _own(spark)[f"{table}_copy"]
+    coll.drop()
+    coll.insert_frame(load(spark, sf_dir, table))
+    return coll
+
+
+def _delete_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted from a stored collection, with how many went."""
+    coll = _copied(spark, sf_dir, "orders")
+    n = coll.delete_many({"$or": [{"o_orderstatus": "F"}, {"o_totalprice": {"$gt": 300000}}]})
+    return coll.find().select("o_orderkey", "o_orderstatus", F.lit(n).cast("bigint").alias("n_deleted"))
+
+
+GONE = "o_orderstatus = 'F' OR o_totalprice > 300000"
+add("delete_rewrite", _delete_rewrite, f"SELECT o_orderkey, o_orderstatus, (SELECT COUNT(*) FROM orders WHERE {GONE}) AS n_deleted FROM orders WHERE NOT ({GONE})")
+
+
+def _update_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed in a stored collection, with how many were."""
+    coll = _copied(spark, sf_dir, "supplier")
+    n = coll.update_many({"s_acctbal": {"$not": {"$gte": 0}}}, {"$set": {"s_name": "in debt"}, "$inc": {"s_nationkey": 1}})
+    return coll.find().withColumn("n_changed", F.lit(n).cast("bigint"))
+
+
+add(
+    "update_rewrite",
+    _update_rewrite,
+    "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'in debt' ELSE s_name END AS s_name, CASE WHEN s_acctbal < 0 THEN s_nationkey + 1 ELSE s_nationkey END AS s_nationkey, s_acctbal, (SELECT COUNT(*) FROM supplier WHERE s_acctbal < 0) AS n_changed FROM supplier",
+)
+
+
+def _difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "nation")
+    db = _own(spark)
+    return db.register("nation_a", df).difference(db.register("nation_b", df.where("n_nationkey > 3").union(df.where("n_nationkey = 10"))))
+
+
+add("compare_difference", _difference, "SELECT *, CAST(n_nationkey <= 3 AS BIGINT) AS only_here, CAST(n_nationkey = 10 AS BIGINT) AS only_there FROM nation WHERE n_nationkey <= 3 OR n_nationkey = 10")
+
+
+def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comparing a collection with itself, with a part of itself and with other fields says."""
+    df = load(spark, sf_dir, "nation")
+    coll = _own(spark).register("nation_a", df.repartition(3))
+    told = [("itself", *coll.compare(df)), ("a part", *coll.compare(df.where("n_nationkey > 3"))), ("other fields", *coll.compare(df.drop("n_name")))]
+    return spark.createDataFrame(told, "other string, same boolean, note string")
+
+
+add("compare_report", _compare, "SELECT * FROM (VALUES ('itself', TRUE, ''), ('a part', FALSE, '4 documents only here, 0 only there'), ('other fields', FALSE, 'fields differ: [''n_name'']')) AS t(other, same, note)")
+
+
+def _at(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{_own(spark).name}_saved/{name}_{uuid.uuid4().hex}"
+
+
+def _json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines and read back."""
+    df, at = load(spark, sf_dir, "supplier"), _at(spark, "json")
+    write_json(df, at)
+    return read_json(spark, at, df.schema)
+
+
+def _csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, at = load(spark, sf_dir, "supplier"), _at(spark, "csv")
+    df.write.option("header", True).csv(at)
+    return read_csv(spark, at, df.schema)
+
+
+def _bson_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with nested fields and times, as binary documents and back."""
+    df, at = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("at"), F.struct("o_orderstatus", F.array("o_custkey", "o_orderkey").alias("keys")).alias("about")), _at(spark, "bson")
+    ship(spark)
+    write_bson(df, at)
+    back = read_bson(spark, at, df.schema)
+    return back.select("o_orderkey", "o_totalprice", F.col("at").cast("timestamp_ntz").alias("o_orderdate"), "about.o_orderstatus", F.col("about.keys")[0].alias("o_custkey"))
+
+
+add("json_files", _json_files, "SELECT * FROM supplier")
+add("csv_import", _csv_import, "SELECT * FROM supplier")
+add("bson_files", _bson_files, "SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus, o_custkey FROM orders")
+
+
+def _cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations, page by page."""
+    cursor = _own(spark).register("nation_view", load(spark, sf_dir, "nation")).find_cursor({"n_regionkey": {"$gt": 0}}, ["n_nationkey", "n_name"], {"n_nationkey": -1}, batch_size=7)
+    rows = []
+    while page := cursor.next_batch():
+        rows += [(d["n_nationkey"], d["n_name"], len(page)) for d in page]
+    return spark.createDataFrame(rows, "n_nationkey int, n_name string, page_rows bigint")
+
+
+add("cursor_pages", _cursor_pages, "SELECT n_nationkey, n_name, LEAST(7, n - 7 * ((k - 1) // 7)) AS page_rows FROM (SELECT n_nationkey, n_name, ROW_NUMBER() OVER (ORDER BY n_nationkey DESC) AS k, COUNT(*) OVER () AS n FROM nation WHERE n_regionkey > 0)")
+
+
+def _admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = Session(_own(spark))
+    names = ("ping", "isMaster", "buildInfo", "getLog", "replSetGetStatus", "getLastError", "whatsmyuri")
+    return spark.createDataFrame([(n, session.run({n: 1})["ok"]) for n in names], "command string, ok double")
+
+
+add("commands_admin", _admin, "SELECT * FROM (VALUES ('ping', 1.0::DOUBLE), ('isMaster', 1.0), ('buildInfo', 1.0), ('getLog', 1.0), ('replSetGetStatus', 0.0), ('getLastError', 1.0), ('whatsmyuri', 1.0)) AS t(command, ok)")
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as documents, over a collection made of the regions."""
+    db = _own(spark)
+    db["by_command"].drop()
+    session, out = Session(db), []
+    docs = [r.asDict() for r in load(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    out.append(("insert", session.run({"insert": "by_command", "documents": docs})["n"]))
+    first = session.run({"find": "by_command", "filter": {"r_regionkey": {"$gte": 1}}, "batchSize": 2})["cursor"]
+    more = session.run({"getMore": first["id"], "batchSize": 9})["cursor"]
+    out += [("find", len(first["firstBatch"])), ("getMore", len(more["nextBatch"])), ("open cursors", len(session.cursors))]
+    held = session.run({"aggregate": "by_command", "pipeline": [{"$match": {}}], "cursor": {"batchSize": 1}})["cursor"]["id"]
+    out.append(("killCursors", len(session.run({"killCursors": "by_command", "cursors": [held]})["cursorsKilled"])))
+    out.append(("distinct", len(session.run({"distinct": "by_command", "key": "r_name"})["values"])))
+    out.append(("update", session.run({"update": "by_command", "updates": [{"q": {"r_regionkey": {"$lt": 2}}, "u": {"$set": {"r_name": "changed"}}}]})["n"]))
+    out.append(("count", session.run({"count": "by_command", "query": {"r_name": "changed"}})["n"]))
+    out.append(("delete", session.run({"delete": "by_command", "deletes": [{"q": {"r_name": "changed"}}, {"q": {"r_regionkey": 4}}]})["n"]))
+    stats = session.run({"explain": {"find": "by_command", "filter": {"r_regionkey": {"$gt": 2}}}})["executionStats"]
+    out += [("explain: documents", stats["nReturned"]), ("explain: bytes", int(stats["bytesExamined"] > 0))]
+    out.append(("namespace", db.of_namespace(f"{db.name}.by.command").find().count()))
+    return spark.createDataFrame(out, "step string, n bigint")
+
+
+add(
+    "commands_data",
+    _commands,
+    "SELECT * FROM (VALUES ('insert', 5), ('find', 2), ('getMore', 2), ('open cursors', 0), ('killCursors', 1), ('distinct', 5), ('update', 2), ('count', 2), ('delete', 3), ('explain: documents', 1), ('explain: bytes', 1), ('namespace', 2)) AS t(step, n)",
+)
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter over documents that arrive as files, run over those that are there."""
+    at = _at(spark, "stream")
+    df = load(spark, sf_dir, "events")
+    rows = followed(spark, f"{sf_dir}/events.parquet*", df.schema, {"value": {"$gt": 50}, "event_type": {"$ne": "click"}}, ["event_id", "value"], "parquet")
+    rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+add("follow_filter", _followed, "SELECT event_id, value FROM events WHERE value > 50 AND event_type <> 'click'")
+
+# Values at the ends of their types, and negations
+
+
+def _on(name: str, table: str, prepare: Callable[[DataFrame], DataFrame], filter: dict, columns: list[str], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = prepare(load(spark, sf_dir, table))
+        return df.where(compiled(filter, of_schema(df.schema))).select(*columns)
+
+    add(name, run, sql)
+
+
+def _odd_numbers(df: DataFrame) -> DataFrame:
+    odd = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).when(F.col("l_linenumber") == 2, F.lit(1e300)).when(F.col("l_linenumber") == 3, F.lit(float("-inf"))).otherwise(F.col("l_quantity"))
+    return df.withColumn("x", odd)
+
+
+_on("find_mod_double", "lineitem", _odd_numbers, {"x": {"$mod": [7, 3]}}, LINE, f"SELECT {', '.join(LINE)} FROM lineitem WHERE l_linenumber > 3 AND CAST(trunc(l_quantity) AS BIGINT) % 7 = 3")
+find("find_regular_expression", "customer", {"c_name": {"$regularExpression": {"pattern": "#0+1[0-9]*5$", "options": "i"}}}, ["c_custkey", "c_name"], "regexp_matches(c_name, '#0+1[0-9]*5$')")
+find("find_in_regular_expression", "part", {"p_type": {"$in": ["none", {"$regularExpression": {"pattern": "^ECO", "options": "i"}}]}}, ["p_partkey", "p_type"], "regexp_matches(p_type, '^ECO', 'i')")
+
+
+def _with_nulls(df: DataFrame) -> DataFrame:
+    return df.withColumn("q", F.when(F.col("l_linenumber") != 2, F.col("l_quantity"))).withColumn("f", F.when(F.col("l_linenumber") != 3, F.col("l_returnflag")))
+
+
+Q, R = "(CASE WHEN l_linenumber <> 2 THEN l_quantity END)", "(CASE WHEN l_linenumber <> 3 THEN l_returnflag END)"
+_on("find_nor_nested", "lineitem", _with_nulls, {"$nor": [{"$and": [{"q": {"$gt": 10}}, {"f": {"$nin": ["A"]}}]}, {"q": {"$not": {"$lt": 45}}}]}, LINE, f"SELECT {', '.join(LINE)} FROM lineitem WHERE NOT (COALESCE({Q} > 10, FALSE) AND NOT COALESCE({R} = 'A', FALSE)) AND COALESCE({Q} < 45, FALSE)")
+_on("find_nin_nulls", "lineitem", _with_nulls, {"f": {"$nin": ["A", "R"]}, "q": {"$not": {"$gte": 20, "$lt": 40}}}, LINE, f"SELECT {', '.join(LINE)} FROM lineitem WHERE NOT COALESCE({R} IN ('A', 'R'), FALSE) AND NOT COALESCE({Q} >= 20 AND {Q} < 40, FALSE)")
+add(
+    "group_sum_overflow",
+    lambda spark, sf_dir: aggregated(load(spark, sf_dir, "nation").select("n_regionkey", F.lit(9 * 10**18).alias("big")), {"$group": {"_id": "$n_regionkey", "total": {"$sum": "$big"}}}),
+    "SELECT n_regionkey AS _id, SUM(9000000000000000000::DOUBLE) AS total FROM nation GROUP BY 1",
+)
+add(
+    "skip_rows",
+    lambda spark, sf_dir: aggregated(aggregated(load(spark, sf_dir, "lineitem"), [{"$match": {"l_quantity": {"$gt": 20}}}, {"$skip": 1234}]), {"$count": "n"}),
+    "SELECT GREATEST(COUNT(*) - 1234, 0) AS n FROM lineitem WHERE l_quantity > 20",
+)
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``$elemMatch`` in documents of any shape."""
+    df = load(spark, sf_dir, "part").select("p_partkey", F.parse_json(F.to_json(F.struct(F.array(F.struct("p_size", "p_brand"), F.struct(F.lit(0).alias("p_size"), F.lit("none").alias("p_brand"))).alias("items")))).alias("doc"))
+    return df.where(compiled({"items": {"$elemMatch": {"p_size": {"$gt": 40}, "p_brand": {"$regex": "1$"}}}}, of_schema(df.schema, "doc"))).select("p_partkey")
+
+
+add("find_elemmatch_dynamic", _elements, "SELECT p_partkey FROM part WHERE p_size > 40 AND regexp_matches(p_brand, '1$')")

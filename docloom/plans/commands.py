@@ -8,6 +8,7 @@ from typing import Any
 from ..functions.types import RequestError
 from ..sources.catalog import Database
 from ..sources.cursor import Cursor
+from .metrics import measured
 
 #: Answers that don't depend on data.
 STATIC: dict[str, dict] = {
@@ -65,6 +66,21 @@ class Session:
     def _update(self, name: str, c: dict) -> dict:
         return {"n": sum(self.database[name].update_many(u["q"], u["u"]) for u in c["updates"]), "ok": 1.0}
 
+    def _explain(self, request: dict, c: dict) -> dict:
+        """Runs a find or aggregate and says what it took."""
+        if "find" in request:
+            name = request["find"]
+            df = self.database[name].find(request.get("filter"), request.get("projection"), request.get("sort"), request.get("skip", 0), request.get("limit", 0))
+        elif "aggregate" in request:
+            name = request["aggregate"]
+            df = self.database[name].aggregate(request["pipeline"])
+        else:
+            raise RequestError("explain takes a find or an aggregate")
+        return {"namespace": f"{self.database.name}.{name}", "executionStats": measured(df).as_reply(), "ok": 1.0}
+
+    def _mapreduce(self, name: str, c: dict) -> dict:
+        raise RequestError("mapReduce runs functions of JavaScript, which are not run here; $group and $where say the same")
+
     def _getmore(self, cursor_id: int, c: dict) -> dict:
         cursor = self.cursors.get(cursor_id)
         if cursor is None:

@@ -2,27 +2,31 @@
 
 A collection is created by its first insert.  Inserts append files and are
 visible as a whole when their job has committed.  Updates and deletions write
-the new table beside the old one and then take its name.
+the new table beside the old one, put the old one aside, take its name and then
+drop it.  Where that breaks off, the next access completes it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import of_schema, quoted
 from ..functions.types import RequestError, decoded, merged, schema_of, without_nulls
-from ..operators.aggregate import aggregated, sort as sorted_by
+from ..operators.aggregate import aggregated, skipped, sort as sorted_by
 from ..operators.filters import compiled, nearness
 from ..operators.mutate import deleted, updated
 from ..operators.project import projected
 from .cursor import Cursor
 
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
+#: Ends of the names of a table that is being written, and of one that is being replaced.
+BESIDE, ASIDE = "__next", "__old"
 
 
 class Database:
@@ -39,7 +43,7 @@ class Database:
         return Collection(self, name)
 
     def collection_names(self) -> list[str]:
-        held = {t.name for t in self.spark.catalog.listTables(self.name) if not t.isTemporary}
+        held = {t.name.removesuffix(ASIDE) for t in self.spark.catalog.listTables(self.name) if not t.isTemporary and not t.name.endswith(BESIDE)}
         return sorted(held | self.views.keys())
 
     def register(self, name: str, df: DataFrame) -> Collection:
@@ -81,7 +85,27 @@ class Collection:
         return self.database.spark
 
     def exists(self) -> bool:
-        return self.name in self.database.views or self.spark.catalog.tableExists(f"{self.database.name}.{self.name}")
+        return self.name in self.database.views or self._there() or self._recovered()
+
+    def _there(self, end: str = "") -> bool:
+        return self.spark.catalog.tableExists(f"{self.database.name}.{self.name}{end}")
+
+    def _recovered(self) -> bool:
+        """Completes a replacement that broke off while no table had the collection's name; the new one was whole by then."""
+        if not self._there(ASIDE):
+            return False
+        self._rename(BESIDE if self._there(BESIDE) else ASIDE, "")
+        self._drop(ASIDE)
+        return True
+
+    def _rename(self, old: str, new: str) -> None:
+        self.spark.sql(f"ALTER TABLE {self._named(old)} RENAME TO {self._named(new)}")
+
+    def _drop(self, end: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._named(end)}")
+
+    def _named(self, end: str) -> str:
+        return f"{quoted(self.database.name)}.{quoted(self.name + end)}"
 
     @property
     def df(self) -> DataFrame:
@@ -109,7 +133,8 @@ class Collection:
             out = sorted_by(out, sort, dynamic)
         elif near is not None:
             out = out.orderBy(near)
-        out = out.offset(skip) if skip else out
+        if skip:
+            out = out.offset(skip) if sort or near is not None or limit else skipped(out, skip)
         out = out.limit(abs(limit)) if limit else out
         return projected(out, projection, filter, dynamic)
 
@@ -158,17 +183,24 @@ class Collection:
 
     def delete_many(self, filter: dict | None = None) -> int:
         """Deletes matching documents and returns how many."""
-        n = self.count(filter)
-        if n:
-            self._replace(deleted(self.df, filter, self.dynamic))
-        return n
+        rows, dynamic = self.df, self.dynamic
+        return self._changed(filter, lambda counted: deleted(counted, filter, dynamic), rows, dynamic)
 
     def update_many(self, filter: dict | None, change: dict) -> int:
         """Changes matching documents and returns how many."""
-        n, new = self.count(filter), updated(self.df, filter, change, self.dynamic)
-        if n:
-            self._replace(new)
-        return n
+        rows, dynamic = self.df, self.dynamic
+        updated(rows, filter, change, dynamic)  # a wrong request raises here
+        return self._changed(filter, lambda counted: updated(counted, filter, change, dynamic), rows, dynamic)
+
+    def _changed(self, filter: dict | None, change: Callable[[DataFrame], DataFrame], rows: DataFrame, dynamic: str | None) -> int:
+        """Rewrites the collection where a document matches; they are counted while it is read."""
+        hit = compiled(filter, of_schema(rows.schema, dynamic))
+        if rows.where(hit).isEmpty():
+            return 0
+        seen = Observation()
+        # A filter of the rewrite must not go below the count.
+        self._replace(change(rows.observe(seen, F.count_if(hit).alias("n"))))
+        return seen.get["n"]
 
     def drop(self) -> None:
         self.database.views.pop(self.name, None)
@@ -183,10 +215,22 @@ class Collection:
         a, b = self.df, other.df if isinstance(other, Collection) else other
         if sorted(a.columns) != sorted(b.columns):
             return False, f"fields differ: {sorted(set(a.columns) ^ set(b.columns))}"
-        b = b.select(*(quoted(c) for c in a.columns))
-        only_a, only_b = a.exceptAll(b).count(), b.exceptAll(a).count()
+        found = self.difference(other).agg(F.sum("only_here"), F.sum("only_there")).first()
+        only_a, only_b = (x or 0 for x in found)
         return (not only_a and not only_b), "" if not only_a and not only_b else f"{only_a} documents only here, {only_b} only there"
 
+    def difference(self, other: Collection | DataFrame) -> DataFrame:
+        """Documents that one of two collections has more often, and how much more: only_here, only_there.
+
+        Both have the same fields.  Documents are counted in one grouping,
+        combined before the shuffle.
+        """
+        a, b = self.df, other.df if isinstance(other, Collection) else other
+        both = a.withColumn("__n", F.lit(1)).unionByName(b.withColumn("__n", F.lit(-1)))
+        n = F.sum("__n")
+        sums = both.groupBy(*(quoted(c) for c in a.columns)).agg(n.alias("__n")).where("__n <> 0")
+        return sums.select(*(quoted(c) for c in a.columns), F.greatest("__n", F.lit(0)).alias("only_here"), F.greatest(-F.col("__n"), F.lit(0)).alias("only_there"))
+
     def _append(self, df: DataFrame) -> None:
         if self.name in self.database.views:
             raise RequestError(f"{self.name} is a view")
@@ -208,11 +252,14 @@ class Collection:
     def _replace(self, df: DataFrame) -> None:
         if self.name in self.database.views:
             raise RequestError(f"{self.name} is a view")
-        beside = f"{quoted(self.database.name)}.{quoted(self.name + '__next')}"
-        self.spark.sql(f"DROP TABLE IF EXISTS {beside}")
-        df.write.format("parquet").saveAsTable(beside)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.spark.sql(f"ALTER TABLE {beside} RENAME TO {self.table}")
+        there = self.exists()
+        self._drop(BESIDE)
+        df.write.format("parquet").saveAsTable(self._named(BESIDE))
+        if there:
+            self._drop(ASIDE)
+            self._rename("", ASIDE)
+        self._rename(BESIDE, "")
+        self._drop(ASIDE)
 
 
 def _row(value: Any, t: T.DataType) -> Any:

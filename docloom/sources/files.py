@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Wrappers of extended JSON with one scalar inside, and what they become.
-SCALARS = {"$oid": "string", "$numberLong": "bigint", "$numberInt": "int", "$numberDouble": "double", "$symbol": "string", "$code": "string"}
+#: Wrappers of extended JSON with one scalar inside, and what they become; 128-bit decimals become doubles.
+SCALARS = {"$oid": "string", "$numberLong": "bigint", "$numberInt": "int", "$numberDouble": "double", "$numberDecimal": "double", "$symbol": "string", "$code": "string"}
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, extended: bool = True) -> DataFrame:
@@ -38,6 +38,15 @@ def _plain(col, t: T.DataType):
         return F.to_timestamp(inner) if isinstance(kind, T.StringType) else F.timestamp_millis(inner.cast("bigint"))
     if set(t.names) == {"$binary", "$type"}:
         return F.unbase64(col["$binary"])
+    if t.names == ["$timestamp"]:
+        inner = col["$timestamp"]
+        return F.shiftleft(inner["t"].cast("bigint"), 32).bitwiseOR(inner["i"].cast("bigint"))
+    if t.names == ["$regularExpression"]:
+        return col["$regularExpression"]
+    if t.names in (["$minKey"], ["$maxKey"]):
+        return F.when(col.isNotNull(), F.lit(t.names[0]))
+    if t.names == ["$undefined"]:
+        return F.lit(None).cast("string")
     if t.names == ["$binary"]:
         return F.unbase64(col["$binary"]["base64"])
     if not _wraps(t):
