@@ -1,7 +1,8 @@
 """Canonical exact digests of documents (DataFrame functions only).
 
-A text is normalised to NFKC, case-folded, its runs of white space become one
-space and its ends are trimmed.  The digest is 128 bits wide: xxHash64 of the
+A text is normalised to NFKC, case-folded and normalised again (folding takes
+some characters apart), its runs of white space become one space and its ends
+are trimmed.  The digest is 128 bits wide: xxHash64 of the
 canonical text, twice, the second time behind a prefix.  Documents are grouped
 by digest, and inside a bucket the canonical bytes themselves are compared, so
 that a collision never merges different texts.
@@ -21,9 +22,9 @@ LOW_BITS, UP_BITS, LEVELS = 6, 16, 3
 def canonical(text: Column) -> Column:
     """The canonical form of ``text``; null counts as empty."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    nfkc = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfkc, F.lit(True))
-    return F.trim(F.regexp_replace(folded, SPACE, " "))
+    nfkc = lambda x: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfkc(text), F.lit(True))
+    return F.trim(F.regexp_replace(nfkc(folded), SPACE, " "))
 
 
 def digest(canon: Column) -> Column:
@@ -69,7 +70,7 @@ def with_next_text(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     the next block in use.  That is found in the same way over the blocks'
     first rows, level by level, so that no task sees more than a block and
     texts are shuffled once.  Rows of one id follow each other by text; rows
-    without an id have an empty follower.
+    without an id have an empty follower.  Ids are whole numbers; others raise.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     known = rows.where("doc_id is not null").withColumn("block", F.shiftright("doc_id", LOW_BITS))
@@ -106,7 +107,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The last floor(n/4) code points give way to the first as many (or all) of
     the next document.  Likeness of two exact digests is 1 where they agree
-    and 0 elsewhere.
+    and 0 elsewhere.  Null texts count as empty; a text of any length is read
+    whole.  Rows that repeat an id follow each other by text, and each comes
+    back; rows without an id have an empty follower.  Ids are whole numbers;
+    others raise.  An empty table gives no rows; other columns are not read.
     """
     rows = with_next_text(docs)
     n = F.char_length("text")

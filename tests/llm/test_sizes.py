@@ -238,6 +238,14 @@ def test_toxicity_held_out(spark):
     assert len(toxic) > 10 and np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.01
 
 
+def test_canonical_is_stable(spark):
+    """Letters that folding takes apart meet their composed forms."""
+    pairs = [("\u01f0\u0323", "J\u0323\u030c"), ("\u0390", "\u0399\u0308\u0301"), ("ﬃ", "FFI"), ("ß", "SS"), ("Ǆ", "dž")]
+    rows = [(k, x) for k, p in enumerate(pairs) for x in p]
+    got = spark.createDataFrame(rows, "k int, text string").select("k", fingerprints.canonical(F.col("text")).alias("c")).distinct().collect()
+    assert len(got) == len(pairs)
+
+
 def members(path):
     """The gzip members of a file, each inflated by itself."""
     data, out = path.read_bytes(), []
