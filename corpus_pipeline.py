@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import linededup, packing, pii, simhash, toxicity
-from docloom.llm.common import shared_dir, table
+from docloom.llm.common import remove, scratch, table
 from docloom.session import ship
 
 
@@ -22,7 +21,11 @@ def _like(docs: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of being toxic is below ``toxicity.THRESHOLD``, by a chain fitted on ``labels``."""
+    """Documents whose chance of being toxic is below ``toxicity.THRESHOLD``, by a chain fitted on ``labels``.
+
+    Null texts are scored as empty ones; rows without an id and repeated rows
+    are scored each; an empty table stays empty, and without labels all stay.
+    """
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
     return toxicity.scored(docs, chain, prefix="__p_").where(F.col("__p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
 
@@ -42,12 +45,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are masked."""
+    """Spans of personal data are masked; every row stays, null texts as they are."""
     return _like(pii.redacted(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens, in pieces."""
+    """Sequences of 1024 tokens, in pieces; null texts are empty, repeated rows are packed each, an empty table gives no rows."""
     rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024)
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -65,11 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again in the shared folder."""
+    """All stages over ``documents``, each written and read again in the shared folder.
+
+    A stage's table goes when the next one is written, the last when the
+    session ends.
+    """
     ship(spark)
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    at = scratch(spark, "corpus")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            remove(spark, f"{at}/{k - 1}")
     return docs
