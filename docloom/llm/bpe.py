@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches, strings
+from .common import small_arrow, small_batches, strings
 
 # The pattern that cuts a text into pieces, as the vocabulary's makers published it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,7 +141,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
     A null text counts as empty and has no ids.  Repeated rows stay repeated,
     other columns are not read, and an empty table gives no rows.
     """
-    rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
+    rows = small_arrow(docs).selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -159,7 +159,7 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str
     As :func:`encoded`, but ids and decoded texts stay in the task that made
     them.
     """
-    rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
+    rows = small_arrow(docs).selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)

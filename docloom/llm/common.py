@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of texts or sets between Spark and Python.
+ARROW_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,6 +69,18 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_arrow(df: DataFrame) -> DataFrame:
+    """``df``, whose session, unless it sets another limit, from now on hands Python workers batches of at most ``ARROW_BYTES`` bytes, but for single rows.
+
+    A batch is held by the JVM, outside its heap, and by the worker at once;
+    with long texts, Spark's own limit is a large part of an executor.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == f"{64 << 20}b":
+        conf.set(key, f"{ARROW_BYTES}b")
+    return df
+
+
 def text_or_empty(df: DataFrame, col: str = "text"):
     return F.coalesce(df[col].cast("string"), F.lit(""))
 

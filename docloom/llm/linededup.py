@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_arrow, small_batches
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
@@ -120,7 +120,7 @@ def without_repeats(docs: DataFrame, words: int = 50, noise: int = 25, text: str
     columns so called.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"xxhash64(cast(`{text}` as string)) as body", f"cast(`{text}` as string) as text").where("doc_id is not null and text is not null")
+    rows = small_arrow(docs).selectExpr(f"`{doc_id}` as doc_id", f"xxhash64(cast(`{text}` as string)) as body", f"cast(`{text}` as string) as text").where("doc_id is not null and text is not null")
     lines = rows.mapInArrow(outlined(noise, words), f"doc_id {kind}, body bigint, hashes array<bigint>, words array<bigint>, at array<bigint>, grams array<bigint>")
     lines = cut(lines.dropDuplicates(["doc_id", "body"]))
     picked = lines.select("doc_id", "body", F.explode(F.arrays_zip("at", "grams")).alias("p")).select(F.col("p.grams").alias("gram"), "doc_id", "body", F.col("p.at").alias("at"))

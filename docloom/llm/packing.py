@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import PIECES, tokenizer
-from .common import small_batches, strings
+from .common import small_arrow, small_batches, strings
 
 #: Limits of a shard; a document beyond them is a shard by itself.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, text:
     Repeated rows are packed each; an empty table gives no rows.  A text of any
     length is encoded whole, also one that is a single run of one character.
     """
-    rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
+    rows = small_arrow(docs).selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def flush(ids: list, tokens: list[np.ndarray], base: int) -> Iterator[pa.RecordBatch]:

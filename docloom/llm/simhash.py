@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import dealt_cells
-from .common import Forest, cut, group_starts, small_batches, whole_groups
+from .common import Forest, cut, group_starts, small_arrow, small_batches, whole_groups
 from .components import connected_components
 
 SEED = 42
@@ -107,7 +107,7 @@ def simhashes(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool =
     With one lane ``fp`` is a bigint with the fingerprint's bits, with more it
     is binary.
     """
-    rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
+    rows = small_arrow(docs).selectExpr(f"`{doc_id}` as doc_id", f"cast(`{text}` as string) as text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -325,14 +325,14 @@ def nearest_forests(radius: int, forests: int = 1, name: str = "fp"):
             ends = np.append(starts[1:], len(fps))
             small = ends - starts <= HELD
             end_of = np.repeat(np.where(small, ends, 0), ends - starts)
-            at = np.flatnonzero(end_of > np.arange(len(fps)) + 1)
+            at = np.flatnonzero(end_of > np.arange(len(fps)) + 1).astype(np.int32)
             pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             step = 1
             while len(at):
                 bound = np.bitwise_count(coded[at] ^ coded[at + step]).sum(axis=1, dtype=np.int64)
                 a = at[bound <= radius]
                 d = distances(fps, a, a + step)
-                pairs.append((a[d <= radius], a[d <= radius] + step, d[d <= radius]))
+                pairs.append((a[d <= radius], a[d <= radius] + np.int32(step), d[d <= radius].astype(np.int16)))
                 step += 1
                 at = at[at + step < end_of[at]]
             a, b, d = (np.concatenate(x) if pairs else np.zeros(0, dtype=np.int64) for x in (list(zip(*pairs)) or [[], [], []]))
@@ -380,7 +380,7 @@ def confirmed(similarity: float):
     """Pairs and whether their sets share at least ``similarity`` of their union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 4096, "s"):
             yes = []
             for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist()):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, small_batches
+from .common import cut, small_arrow, small_batches
 
 WORDS = re.compile(r"\w+").findall
 #: Lengths of the beginnings that count as features of longer words.
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_la
     names = [f"c{k}" for k in range(len(categories))]
     chosen = labels.select(F.col(doc_id).alias("doc_id"), *(F.expr(c).cast("int").alias(n) for n, c in zip(names, categories.values()))).dropna()
     chosen = chosen.groupBy("doc_id").agg(*(F.min(n).alias(n) for n in names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = small_arrow(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     kind, kinds = docs.schema[doc_id].dataType.simpleString(), ", ".join(f"{c} int" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_"
     those names are replaced; an empty table gives no rows.
     """
     names = [f"{prefix}{c}" for c in chain.categories]
-    rows = docs.drop(*names)
+    rows = small_arrow(docs).drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, by=text):

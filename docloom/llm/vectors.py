@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import dealt_cells
-from .common import Forest, cut, group_starts, whole_groups
+from .common import Forest, cut, group_starts, small_arrow, whole_groups
 from .components import connected_components
 from .simhash import mixed
 
@@ -168,7 +168,7 @@ def near_vectors(
     Repeated rows are vectors each; an empty table gives no rows; other
     columns are not read.
     """
-    rows = vectors.selectExpr(f"cast(`{vec_id}` as bigint) as vec_id", f"cast(`{vector}` as array<double>) as vec")
+    rows = small_arrow(vectors).selectExpr(f"cast(`{vec_id}` as bigint) as vec_id", f"cast(`{vector}` as array<double>) as vec")
     ok = f"vec_id is not null and {usable('vec')}"
     good = rows.where(ok)
     classes = cut(good.groupBy("vec").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("copies")))
