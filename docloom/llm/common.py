@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch of texts or sets between Spark and Python.
 ARROW_BYTES = 8 << 20
+#: Keys that may be dealt into chunks in a join: each has more than this part of its rows.
+HOT = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,23 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_join(many: DataFrame, one: DataFrame, counts: DataFrame, keys: list[str], by: list[str], chunk: int = 4096) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has one row for each key.
+
+    ``counts`` says in ``n`` how many rows of ``many`` each key has.  A key of
+    more than ``chunk`` rows and more than a part in ``HOT`` of all (there are
+    at most ``HOT`` such keys, which are broadcast) is dealt into chunks by a
+    hash of the columns ``by``, and the other side's row goes to each of them.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(chunk, -(-total // HOT))
+    hot = counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("__chunks"))
+    chunks = F.coalesce("__chunks", F.lit(1))
+    many = many.join(F.broadcast(hot), keys, "left").withColumn("__chunk", F.pmod(F.xxhash64(*by), chunks).cast("int"))
+    one = one.join(F.broadcast(hot), keys, "left").withColumn("__chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return many.drop("__chunks").join(one.drop("__chunks"), [*keys, "__chunk"]).drop("__chunk")
+
+
 def small_arrow(df: DataFrame) -> DataFrame:
     """``df``, whose session, unless it sets another limit, from now on hands Python workers batches of at most ``ARROW_BYTES`` bytes, but for single rows.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_arrow, small_batches
+from .common import cut, dealt_join, small_arrow, small_batches
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
@@ -80,16 +80,20 @@ def outlined(noise: int, least: int):
 
 
 def extended(least: int):
-    """The lines of the later place that matches of two places cover, run by run, where they hold enough words."""
+    """The lines of the later place that matches of two places cover, run by run, where they hold enough words.
+
+    ``hashes`` and ``words`` begin at line ``start`` of the later document,
+    ``hashes0`` at line ``start0`` of the earlier one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bodies, out = batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), ([], [], [], [])
-            for i, body, h, w, h0, places in zip(ids, bodies, *(batch.column(c).to_pylist() for c in ("hashes", "words", "hashes0", "places"))):
+            for i, body, h, w, h0, start, start0, places in zip(ids, bodies, *(batch.column(c).to_pylist() for c in ("hashes", "words", "hashes0", "start", "start0", "places"))):
                 covered: dict[int, int] = {}  # by diagonal, the end of the last run
                 for place in sorted(places, key=lambda p: p["at"]):
-                    lo = hi = place["at"]
-                    shift = place["at0"] - lo
+                    lo = hi = place["at"] - start
+                    shift = place["at0"] - start0 - lo
                     if covered.get(shift, 0) > lo:
                         continue
                     while lo > 0 and lo + shift > 0 and h[lo - 1] == h0[lo - 1 + shift]:
@@ -98,7 +102,7 @@ def extended(least: int):
                         hi += 1
                     covered[shift] = hi
                     if sum(w[lo:hi]) >= least:
-                        for column, value in zip(out, (i, body, lo, hi)):
+                        for column, value in zip(out, (i, body, start + lo, start + hi)):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column("doc_id").type), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "body", "lo", "hi"])
 
@@ -123,13 +127,27 @@ def without_repeats(docs: DataFrame, words: int = 50, noise: int = 25, text: str
     rows = small_arrow(docs).selectExpr(f"`{doc_id}` as doc_id", f"xxhash64(cast(`{text}` as string)) as body", f"cast(`{text}` as string) as text").where("doc_id is not null and text is not null")
     lines = rows.mapInArrow(outlined(noise, words), f"doc_id {kind}, body bigint, hashes array<bigint>, words array<bigint>, at array<bigint>, grams array<bigint>")
     lines = cut(lines.dropDuplicates(["doc_id", "body"]))
-    picked = lines.select("doc_id", "body", F.explode(F.arrays_zip("at", "grams")).alias("p")).select(F.col("p.grams").alias("gram"), "doc_id", "body", F.col("p.at").alias("at"))
-    first = cut(picked.groupBy("gram").agg(F.min(F.struct("doc_id", "body", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first"))
-    matches = picked.join(first, "gram").where("struct(doc_id, body, at) > first")
-    pairs = matches.groupBy("doc_id", "body", F.col("first.doc_id").alias("doc0"), F.col("first.body").alias("body0")).agg(F.collect_list(F.struct("at", F.col("first.at").alias("at0"))).alias("places"))
+    picked = lines.select("doc_id", "body", F.size("hashes").alias("n_here"), F.explode(F.arrays_zip("at", "grams")).alias("p"))
+    picked = picked.select(F.col("p.grams").alias("gram"), "doc_id", "body", F.col("p.at").alias("at"), "n_here")
+    # A place and the number of its document's lines, which goes with the document.
+    first = cut(picked.groupBy("gram").agg(F.min(F.struct("doc_id", "body", "at", "n_here")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    matches = dealt_join(picked, first.select("gram", "first"), first.select("gram", "n"), ["gram"], ["doc_id", "body", "at"])
+    matches = matches.where("struct(doc_id, body, at, n_here) > first").withColumn("shift", F.col("first.at") - F.col("at"))
+    pairs = matches.groupBy("doc_id", "body", F.col("first.doc_id").alias("doc0"), F.col("first.body").alias("body0")).agg(
+        F.collect_list(F.struct("at", F.col("first.at").alias("at0"))).alias("places"),
+        *(F.min(c).alias(name) for c, name in (("n_here", "n"), ("first.n_here", "n0"), ("shift", "low"))),
+        F.max("shift").alias("high"),
+    )
+    # Lines of each document that have one on the other side, by the places' shifts: the rest isn't moved.
+    reach = {"start": "greatest(0, -high)", "stop": "least(n, n0 - low)", "start0": "greatest(0, low)", "stop0": "least(n0, n + high)"}
+    pairs = cut(pairs.selectExpr("doc_id", "body", "doc0", "body0", "places", *(f"cast({x} as int) as {c}" for c, x in reach.items())))
     here = lines.select("doc_id", "body", "hashes", "words")
     there = lines.select(F.col("doc_id").alias("doc0"), F.col("body").alias("body0"), F.col("hashes").alias("hashes0"))
-    paired = cut(pairs).join(here, ["doc_id", "body"]).join(there, ["doc0", "body0"]).select("doc_id", "body", "hashes", "words", "hashes0", "places")
+    sliced = (f"slice({c}, start + 1, stop - start) as {c}" for c in ("hashes", "words"))
+    near = pairs.join(here, ["doc_id", "body"]).selectExpr("doc_id", "body", "doc0", "body0", "places", "start", "start0", "stop0", *sliced)
+    counts = pairs.groupBy("doc0", "body0").agg(F.count(F.lit(1)).alias("n"))
+    paired = dealt_join(near, there, counts, ["doc0", "body0"], ["doc_id", "body"])
+    paired = paired.selectExpr("doc_id", "body", "hashes", "words", "slice(hashes0, start0 + 1, stop0 - start0) as hashes0", "start", "start0", "places")
     runs = paired.mapInArrow(extended(words), f"doc_id {kind}, body bigint, lo bigint, hi bigint")
     gone = runs.groupBy(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__gone"))
 
