@@ -12,7 +12,10 @@ hyperplanes, so that all groups of the complementary hyperplane agree.  A
 fingerprint therefore enters 30 cells, each keyed by the counts in one
 hyperplane, and fingerprints within the radius share a cell.  In the cells the
 Manhattan bound screens pairs and the Hamming distance decides.  Only equal
-fingerprints are merged before, and no link is lost.
+fingerprints are merged before, and no link is lost.  Counts of two bits let
+about 5 in a million random pairs into a shared cell; where that makes more
+than ``CANDIDATES`` to a fingerprint, segments of one bit key the cells, which
+let in 7 in a billion and are complete by the same hyperplanes.
 
 A similarity such as 0.8 lies far beyond four bits.  For it,
 :func:`similar_groups` takes fingerprints of 256 bits over the distinct
@@ -39,13 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import dealt_cells
-from .common import Forest, cut, group_starts, small_arrow, small_batches, whole_groups
+from .common import Forest, cut, dealt_join, group_starts, small_arrow, small_batches, whole_groups
 from .components import connected_components
 
 SEED = 42
 #: The construction covers differences in up to this many bits.
 RADIUS = 4
 GROUPS = 16
+#: Random fingerprints that may share a cell with one before cells are keyed by shorter segments.
+CANDIDATES = 128
 #: Rows of a group above which it is compared in blocks.
 BLOCK = 256
 #: Rows of a group up to which all its near pairs are held at once.
@@ -170,17 +175,23 @@ def mixed(keys: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 30 cells of each fingerprint of one lane."""
+def in_cells(batches: Iterator[pa.RecordBatch], segment: int = 2) -> Iterator[pa.RecordBatch]:
+    """The 30 cells of each fingerprint of one lane, keyed by the bit counts of segments of ``segment`` bits, 2 or 1."""
     masks = hyperplanes()
     salts = np.arange(1, len(masks) + 1, dtype=np.uint64)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             fps = batch.column("fp").slice(at, 4096).to_numpy().view(np.uint64)
-            keys = mixed(segment_counts(fps)[:, None] & masks[None, :], salts[None, :])
+            counts = segment_counts(fps) if segment == 2 else fps
+            keys = mixed(counts[:, None] & masks[None, :], salts[None, :])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, len(masks)).view(np.int64))], ["cell", "fp"])
 
 
+def segment_for(n: int) -> int:
+    """Bits of a segment for ``n`` fingerprints: two counts agree with probability 3/8, and a cell has 16 of them."""
+    return 2 if n * len(hyperplanes()) * (3 / 8) ** 16 <= CANDIDATES else 1
+
+
 def sampled_tables(bits: int, size: int, differ: float, missed: float) -> int:
     """Tables of cells keyed by ``bits`` of ``size`` bits in which a pair shares no cell with probability ``missed`` at most.
 
@@ -518,7 +529,8 @@ def linked(fps: DataFrame) -> DataFrame:
 
     ``fps`` has distinct fingerprints of one lane in its column fp.
     """
-    cells = fps.select("fp").mapInArrow(in_cells, "cell bigint, fp bigint")
+    segment = segment_for(fps.count())
+    cells = fps.select("fp").mapInArrow(lambda batches: in_cells(batches, segment), "cell bigint, fp bigint")
     return dealt_cells(cells, "cell", "fp").mapInArrow(linked_forest(RADIUS), "a bigint, b bigint")
 
 
@@ -528,14 +540,14 @@ def grouped(marked: DataFrame, pairs_of, numbered: bool = False) -> DataFrame:
     ``node`` is the fingerprint itself or, with ``numbered``, a number for it,
     which joins move and compare more cheaply than long fingerprints.
     """
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     # The checkpoint fixes the numbers.
     least = cut(least.withColumn("node", F.monotonically_increasing_id() if numbered else F.col("fp")))
     roots = connected_components(pairs_of(least))
-    placed = cut(least.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")))
+    placed = cut(least.join(roots, "node", "left").select("fp", "first", "n", F.coalesce("root", "node").alias("root")))
     firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = cut(placed.join(firsts, "root").select("fp", "component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return dealt_join(marked, of_fp, placed.select("fp", "n"), ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

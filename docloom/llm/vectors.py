@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import dealt_cells
-from .common import Forest, cut, group_starts, small_arrow, whole_groups
+from .common import Forest, cut, dealt_join, group_starts, small_arrow, whole_groups
 from .components import connected_components
 from .simhash import mixed
 
@@ -181,6 +181,6 @@ def near_vectors(
     named = cut(named.select("vec", "class", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = named.groupBy("root").agg(F.min("class").alias("component_id"))
     named = cut(named.join(least, "root").select("vec", "n_links", "component_id"))
-    linked = good.join(named, "vec").select("vec_id", "n_links", "component_id")
+    linked = dealt_join(good, named, classes.select("vec", F.col("copies").alias("n")), ["vec"], ["vec_id"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(f"not ({ok})").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
