@@ -6,14 +6,15 @@ import random
 import time
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_contracts import base_spans, check_pii, fingerprint, rows_of
+from test_contracts import base_spans, check_line_dedup, check_pii, fingerprint, rows_of
 
-from docloom.llm import bpe, fingerprints, linededup, packing, pii, sharding, simhash, toxicity, vectors, warc
+from docloom.llm import bpe, common, fingerprints, linededup, packing, pii, sharding, simhash, toxicity, vectors, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LONG = 1_200_000
@@ -84,6 +85,65 @@ def test_line_dedup_blank_lines(spark):
     assert [out[i]["removed"] for i, _ in texts] == ["", "1:5", "", "1:300002", ""]
 
 
+def test_line_dedup_long_texts(spark):
+    """One text quotes very many others, and very many quote one: what moves is about the quoted lines."""
+    n = 3000
+    passages = [" ".join(f"p{k}w{j}" for j in range(25)) + "\n" + " ".join(f"q{k}w{j}" for j in range(26)) for k in range(2 * n)]
+    shared = "\n".join(passages[n:])
+    texts = [(k, f"own {k}\n{passages[k]}\nend") for k in range(n)]
+    texts += [(n, "\n".join(passages[:n])), (n + 1, shared), *((n + 2 + k, f"x {k}\n{passages[n + k]}") for k in range(n))]
+    out = in_time(90, lambda: rows_of(linededup.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id"))
+    assert all(out[k]["removed"] == "" for k in range(n)) and out[n + 1]["text"] == shared
+    assert out[n]["text"] == "" and out[n]["n_removed"] == out[n]["n_lines"] == 2 * n
+    assert all(out[n + 2 + k]["text"] == f"x {k}" for k in range(n))
+
+
+def test_line_dedup_dealt(spark, monkeypatch):
+    """A passage that every text has, at various depths and twice in some: the same with hot keys dealt into chunks."""
+    rng = random.Random(8)
+    line = lambda tag: " ".join(f"{tag}{j}" for j in range(30))
+    passage = "\n".join(line(t) for t in "abcde")
+    texts = []
+    for i in range(200):
+        own = [line(f"own{i}x{k}x") for k in range(rng.randint(0, 4))]
+        own.insert(rng.randint(0, len(own)), passage if i % 3 else "\n".join(line(t) for t in "bcd"))
+        texts.append((i, "\n".join(own + [passage] * (i % 5 == 0))))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    plain = rows_of(linededup.without_repeats(df), "doc_id")
+    assert check_line_dedup(plain, texts) > 500
+    monkeypatch.setattr(linededup, "dealt_join", partial(common.dealt_join, chunk=3))
+    assert rows_of(linededup.without_repeats(df), "doc_id") == plain
+
+
+def test_dealt_join(spark, monkeypatch):
+    """Hot keys, keys on one side only, null keys and repeated rows: the rows of the plain join."""
+    rng = random.Random(4)
+    rows = [(rng.choice([7, 7, 7, None, *range(30)]), rng.randint(0, 50)) for _ in range(2000)]
+    many = spark.createDataFrame(rows, "k int, v int")
+    one = spark.createDataFrame([(k, f"s{k}") for k in (7, None, *range(20, 40))], "k int, s string")
+    counts = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    expected = sorted(tuple(r) for r in many.join(one, "k").collect())
+    for most, hot in ((4096, 1024), (10, 1024), (1, 4)):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = common.dealt_join(many, one, counts, ["k"], ["v"], chunk=most)
+        assert got.columns == ["k", "v", "s"] and sorted(tuple(r) for r in got.collect()) == expected
+    assert common.dealt_join(many.limit(0), one, counts.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_simhash_shorter_segments(spark, monkeypatch):
+    """Cells of one-bit segments, which very many fingerprints get, link the same."""
+    assert [simhash.segment_for(n) for n in (0, 10**6, 2 * 10**7, 10**8, 10**11)] == [2, 2, 2, 1, 1]
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    texts = [[rng.choice(words) for _ in range(120)] for _ in range(60)]
+    texts += [[w if rng.random() > 0.01 else rng.choice(words) for w in rng.choice(texts)] for _ in range(300)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").cache()
+    coarse = rows_of(simhash.simhash_groups(df), "doc_id")
+    assert len({r["component_id"] for r in coarse.values()}) < len({r["fp"] for r in coarse.values()}) - 50
+    monkeypatch.setattr(simhash, "CANDIDATES", 0)
+    assert rows_of(simhash.simhash_groups(df), "doc_id") == coarse
+
+
 @pytest.mark.parametrize("glue", [" ", "\n", ", "])
 def test_pii_many_matches(spark, glue):
     """More matches than a chunk holds, of all kinds, in one text; and a text of a megabyte in time."""
